@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyrocline.llm import hamming, mixing, secrets, sharding, simhash
+from pyrocline.llm import decontamination, hamming, mixing, pages, quality, secrets, sharding, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,38 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = pages.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written and read back."""
+    return tokens.encode_table(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     out = sharding.shard(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of near-duplicates of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,7 +81,8 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and function of each query."""
-    return {f.__name__: f for f in (op1_hamming_topk, op2_secret_scan, op7_sampled_splitters, op9_simhash_dedup, op10_water_filling)}
+    return {f.__name__: f for f in (op1_hamming_topk, op2_secret_scan, op3_kneser_ney_toxicity, op4_fourier_quality, op5_consensus_paths, op6_token_files,
+                                  op7_sampled_splitters, op8_seeded_alignment, op9_simhash_dedup, op10_water_filling)}
 
 
 def oracle_sql() -> dict[str, str]:
