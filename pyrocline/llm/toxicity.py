@@ -45,6 +45,8 @@ MIN_EVIDENCE = 15.0
 MIN_PAIR_EVIDENCE = 30.0
 MIN_RATIO = 2.5
 THRESHOLD = 0.3
+#: Cells by which contexts are told apart.
+CELLS = 32
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _START = 0
 #: Distinct bigrams that a task holds before it hands over its counts.
@@ -76,15 +78,14 @@ class _Ids(dict):
 def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     hashes = np.array(ids.hashes, np.uint64).view(np.int64)
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys)
+    order = np.lexsort((keys & 127, keys & 1, keys >> 7))
     keys, n = keys[order], n[order]
-    pair, bit, label = keys >> 7, (keys >> 1 & 63).astype(np.uint64), keys & 1
-    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-    columns = [hashes[pair[first] & ((1 << 31) - 1)], hashes[pair[first] >> 31]]
-    for c in (1, 0):
-        columns.append(np.add.reduceat(np.where(label == c, n, 0), first))
-        columns.append(np.bitwise_or.reduceat(np.where(label == c, np.uint64(1) << bit, np.uint64(0)), first).view(np.int64))
-    return pa.record_batch([pa.array(x) for x in columns], names=["prev", "word", "toxic", "toxic_in", "ordinary", "ordinary_in"])
+    pair, label = keys >> 7, keys & 1
+    kind = pair << 1 | label
+    first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    cells = np.bitwise_or.reduceat(np.int64(1) << (keys >> 1 & CELLS - 1), first)
+    packed = cells << 32 | np.add.reduceat(n, first) << 1 | label[first]
+    return pa.record_batch([pa.array(x) for x in (hashes[pair[first] & ((1 << 31) - 1)], hashes[pair[first] >> 31], packed)], names=["prev", "word", "packed"])
 
 
 def count_bigrams(rows: DataFrame) -> DataFrame:
@@ -93,8 +94,9 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
     Contexts are told apart by the word before prev: these are the continuation
     counts that a trigram model backs off to, its own order left out. A passage
     that is copied has the same context everywhere and is no stronger evidence
-    for that. Up to 64 cells of the context's hash are told apart and counted
-    linearly (Whang et al. 1990); where all are full, occurrences count.
+    for that. Up to CELLS cells of the context's hash are told apart and counted
+    linearly (Whang et al. 1990); where all are full, occurrences count. What a
+    task has counted travels as one number: cells, occurrences, class.
     ``rows`` has body (binary) and label (1 or 0).
     """
 
@@ -108,7 +110,7 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
                 words = words_of(body.as_buffer().to_pybytes())
                 if words:
                     own = np.fromiter((ids[w] for w in words), np.int64, len(words))
-                    cell = np.fromiter((ids.hashes[i] >> 8 & 63 for i in own[:-2].tolist()), np.int64, max(len(words) - 2, 0))
+                    cell = np.fromiter((ids.hashes[i] >> 8 & CELLS - 1 for i in own[:-2].tolist()), np.int64, max(len(words) - 2, 0))
                     prev = np.concatenate(([0], own[:-1]))
                     cell = np.concatenate(([0, 0], cell))[:len(own)]
                     keys.append(np.unique((own << 31 | prev) << 7 | cell << 1 | label))
@@ -121,13 +123,14 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
         if parts:
             yield _summed(ids, parts)
 
-    counted = rows.select("body", "label").mapInArrow(each, "prev long, word long, toxic long, toxic_in long, ordinary long, ordinary_in long")
-    sums = counted.groupBy("prev", "word").agg(*[f(c).alias(c) for c in ("toxic", "ordinary") for f, c in ((F.sum, c), (F.bit_or, f"{c}_in"))])
+    counted = rows.select("body", "label").mapInArrow(each, "prev long, word long, packed long")
+    sums = counted.groupBy("prev", "word").agg(*[f(F.expr(f"IF(packed & 1 = {c}, {e}, 0)")).alias(name) for c, label in ((1, "toxic"), (0, "ordinary"))
+                                                 for f, e, name in ((F.sum, "(packed & 4294967295) >> 1", label), (F.bit_or, "packed >>> 32", f"{label}_in"))])
 
     def contexts(name: str) -> Column:
         cells = F.bit_count(f"{name}_in")
-        linear = F.ceil(-64 * F.ln(1 - cells / 64.0))
-        return F.when(cells == 64, F.col(name)).otherwise(F.least(F.col(name), linear.cast("long"))).alias(name)
+        linear = F.ceil(-CELLS * F.ln(1 - F.least(cells, F.lit(CELLS - 1)) / CELLS))
+        return F.when(cells == CELLS, F.col(name)).otherwise(F.least(F.col(name), linear.cast("long"))).alias(name)
 
     return sums.select("prev", "word", contexts("toxic"), contexts("ordinary"))
 
@@ -173,9 +176,12 @@ def model_entries(bigrams: DataFrame) -> DataFrame:
     singles = words.where(F.col("evidence") >= MIN_EVIDENCE).select(F.lit(None).cast("long").alias("prev"), "word", ratio.alias("weight"))
 
     # Highest order, for pairs seen often enough to be evidence on their own.
-    contexts = bigrams.groupBy("prev").agg(F.sum("toxic").alias("all_a"), F.sum("ordinary").alias("all_b"),
-                                           F.sum((F.col("toxic") > 0).cast("long")).alias("kinds_a"), F.sum((F.col("ordinary") > 0).cast("long")).alias("kinds_b"))
-    pairs = bigrams.where(F.col("toxic") + F.col("ordinary") >= 3).join(contexts, "prev")
+    pairs = bigrams.where(F.col("toxic") + F.col("ordinary") >= 3)
+    asked = settle(pairs.select("prev").distinct(), "asked")  # most words precede no such pair
+    asked = F.broadcast(asked) if small_enough(asked) else asked
+    contexts = bigrams.join(asked, "prev", "left_semi").groupBy("prev").agg(
+        F.sum("toxic").alias("all_a"), F.sum("ordinary").alias("all_b"), F.sum((F.col("toxic") > 0).cast("long")).alias("kinds_a"), F.sum((F.col("ordinary") > 0).cast("long")).alias("kinds_b"))
+    pairs = pairs.join(contexts, "prev")
     pairs = pairs.withColumn("evidence", _evidence("toxic", "ordinary", "all_a", "all_b")).where(F.col("evidence") >= MIN_PAIR_EVIDENCE)
     pairs = pairs.join(words.drop("evidence"), "word")
 
