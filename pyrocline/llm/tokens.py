@@ -27,11 +27,13 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -50,16 +52,25 @@ VOCABULARY = "word_bpe_49k.json"
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is trained on about this many documents, chosen by a hash of the text, and this many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16 << 10
-#: Encoded pieces between white space that a task remembers.
-REMEMBERED = 400_000
+#: Encoded pieces between white space that a worker remembers before it starts anew.
+REMEMBERED = 800_000
+#: New pieces that are encoded in one string.
+_TOGETHER = 256
+#: Text that is encoded at once; bounds the arrays that a task holds.
+_TOGETHER_BYTES = 8 << 20
+_MARKS = ".,;:!?"
 _READ = 8 << 20
 
 
 class Encoder:
     """Encodes texts with a tokenizers vocabulary, remembering the pieces between ASCII white space.
 
-    Valid for vocabularies whose tokens never span white space; that is checked
-    on the vocabulary's pre-tokenizer when it is loaded.
+    Valid for vocabularies whose tokens never span white space; for any other,
+    whole texts are encoded. If the vocabulary also lower-cases, pieces are told
+    apart in lower case; if it cuts words off punctuation and takes ASCII words
+    as they are, these go straight to its model. Other new pieces are encoded
+    together, with a NUL between them, whose id no other character has. What a
+    vocabulary allows is tried out on probes when it is loaded.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -68,25 +79,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        probe = self.tokenizer.encode("ab cd", add_special_tokens=False).ids
-        apart = [i for w in ("ab", "cd") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        self.by_piece = probe == apart and not any(t.isspace() for t in ("".join(self.tokenizer.encode(" \n\t", add_special_tokens=False).tokens),) if t)
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.by_piece = one("ab  cd\n\tef") == one("ab") + one("cd") + one("ef") and one(" \n") == [] and len(one("\0")) == 1
+        self.by_piece = self.by_piece and one("ab \0 cd") == one("ab") + one("\0") + one("cd")
+        self.lower = self.by_piece and one("ABcd,\nXY") == one("abcd,\nxy")
+        words = ("the", "abcdxq", "zzyzx", "lowercase")
+        self.by_word = self.lower and all(one(w) == [t.id for t in self.tokenizer.model.tokenize(w)] and one(w + m) == one(w) + one(m) for w in words for m in _MARKS)
+        self.between = (one("\0") or [0])[0]
+        self.marks = {m.encode(): array("I", one(m)).tobytes() for m in _MARKS}
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces without white space and NUL."""
+        out: list[bytes] = []
+        joined = [b" \0 ".join(pieces[i:i + _TOGETHER]) for i in range(0, len(pieces), _TOGETHER)]
+        for x in self.tokenizer.encode_batch_fast([j.decode("utf-8", "replace") for j in joined], add_special_tokens=False):
+            ids = np.array(x.ids, "<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+        return out
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of an ASCII word."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.lower().decode("ascii"))]).tobytes()
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        known, rest = self.known, []
+        for piece in pieces:
+            if self.by_word and piece.isalpha():
+                known[piece] = self._word(piece)
+            elif self.by_word and (mark := self.marks.get(piece[-1:])) is not None and (word := piece[:-1]).isalpha():
+                if word not in known:
+                    known[word] = self._word(word)
+                known[piece] = known[word] + mark
+            elif b"\0" in piece:
+                known[piece] = self._whole([piece])[0]
+            else:
+                rest.append(piece)
+        known.update(zip(rest, self._pieces(rest), strict=True))
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        self._learn([p for p in pieces if p not in self.known])
+        return list(map(self.known.__getitem__, pieces))
 
-    def ids(self, bodies: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers, without an end id."""
+    def ids(self, bodies: pa.Array) -> list[np.ndarray]:
+        """Ids of each UTF-8 text (binary, no nulls) as unsigned 32-bit integers, without an end id."""
         if not self.by_piece:
-            return self._encode([b.decode("utf-8", "replace") for b in bodies])
-        pieces = [b.split() for b in bodies]
-        new = list({w for words in pieces for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in pieces for w in words})
-        self.known.update(zip(new, self._encode([w.decode("utf-8", "replace") for w in new]), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in pieces]
+            return [np.frombuffer(x, "<u4") for x in self._whole([b.as_buffer().to_pybytes() for b in bodies])]
+        raw = [b.as_buffer().to_pybytes() for b in bodies]
+        if self.lower and not any(b"<|" in b for b in raw):  # names of special tokens keep their case
+            raw = [b.lower() for b in raw]
+        texts = pa.array(raw, pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = self._known(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        store = np.frombuffer(b"".join(words), "<u4")
+        which = coded.indices.to_numpy()
+        count = sizes[which]
+        ends = np.cumsum(count)
+        start = (np.cumsum(sizes) - sizes)[which]
+        stream = store[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))]
+        return [stream[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 @cache
@@ -94,9 +155,14 @@ def _encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def _batches_of(bodies: pa.Array, rows: int = 256) -> Iterator[list[bytes]]:
-    for at in range(0, len(bodies), rows):
-        yield [x.as_buffer().to_pybytes() for x in bodies[at:at + rows]]
+def _parts_of(bodies: pa.Array) -> Iterator[pa.Array]:
+    """Slices of ``bodies`` with about _TOGETHER_BYTES each, whole texts."""
+    upto = np.cumsum(pc.binary_length(bodies).to_numpy())
+    at = 0
+    while at < len(bodies):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _TOGETHER_BYTES, "right")))
+        yield bodies[at:end]
+        at = end
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -114,12 +180,11 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) ->
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(vocabulary)
         for batch in batches:
-            for part in _batches_of(batch.column("body")):
-                out = [np.frombuffer(x, "<u4").astype(f"<u{own.width}").tobytes()[:SAMPLE_BYTES] for x in own.ids(part)]
+            for part in _parts_of(batch.column("body")):
+                out = [x.astype(f"<u{own.width}").tobytes()[:SAMPLE_BYTES] for x in own.ids(part)]
                 yield pa.record_batch([pa.array(out, pa.binary())], names=["ids"])
 
-    end = struct.pack("<I", end_id)[:2]
-    samples = sorted(r.ids + end for r in sample.mapInArrow(each, "ids binary").collect())
+    samples = sorted(r.ids for r in sample.mapInArrow(each, "ids binary").collect())
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
     except (zstandard.ZstdError, ValueError, MemoryError):
@@ -148,10 +213,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         out.write(dictionary)
     mark = hashlib.sha256(dictionary).digest()
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
-    end = struct.pack("<I", end_id)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, press = _encoder(vocabulary), _compressor(shared.value)
+        end = end_id.to_bytes(own.width, "little")
         context = TaskContext.get()
         name = f"tokens-{context.partitionId():06d}-{uuid.uuid4().hex}.bin"
         target, folder = _open(path)
@@ -166,13 +231,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             listed = batch.column("doc_id").to_pylist()
             ids += [x or 0 for x in listed]
             has += [x is not None for x in listed]
-            for part in _batches_of(batch.column("body")):
+            for part in _parts_of(batch.column("body")):
                 frames = []
-                for raw in own.ids(part):
-                    numbers = np.frombuffer(raw + end, "<u4")
-                    frames.append(press.compress(numbers.astype(f"<u{own.width}").tobytes()))
+                for numbers in own.ids(part):
+                    frames.append(press.compress(numbers.astype(f"<u{own.width}").tobytes() + end))
                     offsets.append(at)
-                    counts.append(len(numbers))
+                    counts.append(len(numbers) + 1)
                     at += len(frames[-1])
                 stream.write(b"".join(frames))
         if stream is not None:
