@@ -17,7 +17,7 @@ from pyrocline.storage import settle
 #: Far above the logarithmic number of rounds; reaching it means a defect.
 MAX_ROUNDS = 200
 #: Up to this many edges are solved by one task, which takes less than a round.
-FEW_EDGES = 20_000
+FEW_EDGES = 250_000
 
 
 def _star(edges: DataFrame, ends: Column, outward: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", fe
                         (F.col(left).isNotNull() & F.col(right).isNotNull()).alias("ok"))
     now = settle(both.where("ok and hi <> lo").select("hi", "lo").distinct(), "edges")
     if now.limit(few_edges + 1).count() <= few_edges:
-        return now.groupBy(F.lit(0)).applyInArrow(_solve, "node long, component long")
+        return now.withColumn("all", F.lit("edges")).groupBy("all").applyInArrow(_solve, "node long, component long")
     seen = None
     for _ in range(MAX_ROUNDS):
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
