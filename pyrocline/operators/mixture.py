@@ -13,9 +13,9 @@ def _vectors(points: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["lon", "lat"], outputCol="place", handleInvalid="skip").transform(points.where("lon IS NOT NULL AND lat IS NOT NULL"))
 
 
-def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 50) -> GaussianMixtureModel:
+def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 100) -> GaussianMixtureModel:
     """A mixture of ``components`` (at least 2) over lon and lat by expectation maximisation."""
-    return GaussianMixture(k=max(2, components), seed=seed, maxIter=rounds, featuresCol="place").fit(_vectors(points))
+    return GaussianMixture(k=max(2, components), seed=seed, maxIter=rounds, tol=1e-6, featuresCol="place").fit(_vectors(points))
 
 
 def assign(model: GaussianMixtureModel, points: DataFrame) -> DataFrame:
