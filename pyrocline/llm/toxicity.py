@@ -129,7 +129,7 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
 
     def contexts(name: str) -> Column:
         cells = F.bit_count(f"{name}_in")
-        linear = F.ceil(-CELLS * F.ln(1 - F.least(cells, F.lit(CELLS - 1)) / CELLS))
+        linear = F.round(-CELLS * F.ln(1 - F.least(cells, F.lit(CELLS - 1)) / CELLS))
         return F.when(cells == CELLS, F.col(name)).otherwise(F.least(F.col(name), linear.cast("long"))).alias(name)
 
     return sums.select("prev", "word", contexts("toxic"), contexts("ordinary"))
