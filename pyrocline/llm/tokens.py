@@ -53,7 +53,7 @@ DICTIONARY_BYTES = 64 << 10
 #: The dictionary is trained on about this many documents, chosen by a hash of the text, and this many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16 << 10
 #: Encoded pieces between white space that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: New pieces that are encoded in one string.
 _TOGETHER = 256
 #: Text that is encoded at once; bounds the arrays that a task holds.

@@ -49,8 +49,10 @@ THRESHOLD = 0.3
 CELLS = 32
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _START = 0
+#: Words that a task remembers while scoring.
+REMEMBERED = 200_000
 #: Distinct bigrams that a task holds before it hands over its counts.
-_FLUSH = 4_000_000
+_FLUSH = 3_000_000
 
 
 def words_of(text: bytes) -> list[str]:
@@ -225,7 +227,7 @@ class _Scorer:
         self.heads: dict[str, dict[int, float]] = {}
 
     def _meet(self, word: str) -> float:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > REMEMBERED:
             self.known, self.heads = {}, {}
         code = _signed(word)
         weight = self.model.single.get(code, 0.0)
