@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pyrocline.config import Settings
 from pyrocline.operators import bounds, clusters, density, mixture, raster, scoring
-from pyrocline.sources import sinks
+from pyrocline.sources import geotiff, sinks
 from pyrocline.sources.outline import Ring
 from pyrocline.storage import settle
 
@@ -90,10 +90,19 @@ class Run:
     def write(self, folder: str, source: str, model: scoring.Linear | None) -> dict[str, str]:
         """Write points, polygons and heat map below ``folder`` and return their paths."""
         paths = sinks.output_paths(folder, source)
-        sinks.write_heatmap(self.heatmap(), raster.extent(self.rows), self.settings.pixel, paths["heatmap"])
+        cells, box = settle(self.heatmap(), "heatmap"), raster.extent(self.rows.where("lon IS NOT NULL AND lat IS NOT NULL"))
+        sinks.write_heatmap(cells, box, self.settings.pixel, paths["heatmap"])
+        geotiff.write_geotiff(cells, box, self.settings.pixel, paths["heatmap"] + ".tif")
         table = settle(self.classified(self.members(), model, paths["base"]), "clusters")
         sinks.write_collection(sinks.point_features(table), paths["points"])
         sinks.write_collection(sinks.polygon_features(table), paths["polygons"])
         total = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("num_in_cluster"), F.lit(0)).alias("m")).first()
         log.info("%d clusters with %d detections", total.n, total.m)
         return paths
+
+    def write_hierarchical(self, folder: str, source: str) -> str:
+        """Write the polygons of the single-linkage clusters and return their path."""
+        paths = sinks.output_paths(folder, source)
+        table = self.classified(settle(self.hierarchical(), "hierarchical"), None, paths["base"])
+        sinks.write_collection(sinks.polygon_features(table), paths["hierarchical"])
+        return paths["hierarchical"]

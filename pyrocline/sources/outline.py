@@ -43,3 +43,9 @@ def edges(spark: SparkSession, rings: list[Ring]) -> DataFrame:
 def midpoints(rings: list[Ring]) -> list[tuple[int, float, float]]:
     """(ring, longitude, latitude) of the middle of each ring's box."""
     return [(n, (min(x for x, _ in r) + max(x for x, _ in r)) / 2, (min(y for _, y in r) + max(y for _, y in r)) / 2) for n, r in enumerate(rings)]
+
+
+def corners(spark: SparkSession, rings: list[Ring]) -> DataFrame:
+    """``poly_id, corner, lon, lat``: the coordinates of all rings."""
+    rows = [(n, k, x, y) for n, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
+    return spark.createDataFrame(rows, "poly_id int, corner int, lon double, lat double")

@@ -37,27 +37,27 @@ def polygon_features(clusters: DataFrame) -> DataFrame:
     return _feature(clusters, "Polygon", F.array("polygon"))
 
 
-def _write_text(spark: SparkSession, path: str, parts: Iterator[str]) -> None:
+def write_bytes(spark: SparkSession, path: str, parts: Iterator[bytes]) -> None:
     """One file in any storage that Spark reaches, written piece by piece."""
     jvm = spark._jvm  # noqa: SLF001
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)  # noqa: SLF001
     try:
         for part in parts:
-            stream.write(bytearray(part.encode()))
+            stream.write(bytearray(part))
     finally:
         stream.close()
 
 
 def write_collection(features: DataFrame, path: str) -> None:
     """One FeatureCollection file, in the order of ``cluster_id``; rows pass the driver one partition at a time. Without rows it has no features."""
-    def parts() -> Iterator[str]:
-        yield '{"type": "FeatureCollection", "features": ['
+    def parts() -> Iterator[bytes]:
+        yield b'{"type": "FeatureCollection", "features": ['
         for n, row in enumerate(features.orderBy("cluster_id").toLocalIterator()):
-            yield (",\n" if n else "\n") + row.feature
-        yield "]}\n"
+            yield ((",\n" if n else "\n") + row.feature).encode()
+        yield b"]}\n"
 
-    _write_text(features.sparkSession, path, parts())
+    write_bytes(features.sparkSession, path, parts())
 
 
 def write_heatmap(cells: DataFrame, box: DataFrame, pixel: float, path: str) -> None:

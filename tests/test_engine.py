@@ -2,6 +2,7 @@
 
 import json
 import math
+import struct
 
 import duckdb
 import numpy as np
@@ -10,11 +11,12 @@ import pytest
 import __spark_entry__ as entry
 from pyrocline import cli
 from pyrocline.functions.geodesic import with_distance
+from pyrocline.functions.utm import with_utm
 from pyrocline.operators import bounds, clusters, density, mixture, raster, scoring
 from pyrocline.operators.components import connected_components
 from pyrocline.plans import catalog
 from pyrocline.plans.engine import Run
-from pyrocline.sources import detections, outline, sinks
+from pyrocline.sources import detections, geotiff, outline, sinks
 
 SMALL = "/root/testdata/sf0.001"
 SQUARE = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)]
@@ -182,6 +184,36 @@ def test_command_line(spark, tmp_path):
     assert json.loads(open(nothing.write(str(tmp_path / "none"), "x.csv", None)["points"]).read())["features"] == []
 
 
+def test_geotiff(spark, tmp_path):
+    here = points(spark, [(0, 10), (3.5, 7.2)])
+    cells = raster.heatmap(here, 1.0)
+    assert geotiff.write_geotiff(cells, raster.extent(here), 1.0, str(tmp_path / "h.tif"))
+    raw = (tmp_path / "h.tif").read_bytes()
+    at, wide, tall = struct.unpack("<I", raw[4:8])[0], None, None
+    for k in range(struct.unpack("<H", raw[at:at + 2])[0]):
+        tag, _, _, value = struct.unpack("<HHII", raw[at + 2 + 12 * k:at + 14 + 12 * k])
+        wide, tall = (value if tag == 256 else wide), (value if tag == 257 else tall)
+    picture = np.frombuffer(raw[8:8 + 4 * wide * tall], "<f4").reshape(tall, wide)
+    assert (tall, wide) == (3, 4)
+    assert picture.sum() == pytest.approx(sum(r.weight for r in cells.collect()), rel=1e-5)
+    assert not geotiff.write_geotiff(cells, raster.extent(here.where("false")), 1.0, str(tmp_path / "e.tif"))
+
+
+def test_utm_and_corners(spark):
+    frame = spark.createDataFrame([(0.0, 3.0), (45.0, 3.0), (0.0, 6.0)], "lat double, lon double")
+    found = [(r.easting, r.northing) for r in with_utm(frame, 31).collect()]
+    assert found[0] == pytest.approx((500000, 0), abs=1e-6)
+    assert found[1] == pytest.approx((500000, 4982950.400), abs=0.01)
+    assert found[2] == pytest.approx((833978.557, 0), abs=0.01)
+    assert outline.corners(spark, [SQUARE, SQUARE]).count() == 10
+
+
+def test_hierarchical_polygons(spark, tmp_path):
+    rows = points(spark, [(0.001 * k, 0) for k in range(6)] + [(1, 1)]).selectExpr("*", "1D AS frp", "1L AS fid")
+    made = json.loads(open(Run(rows).write_hierarchical(str(tmp_path), "a.csv")).read())
+    assert len(made["features"]) == 1 and made["features"][0]["geometry"]["type"] == "Polygon"
+
+
 def test_classifier_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="weights"):
         (tmp_path / "m.json").write_text('{"weights": [1], "intercept": 0}')
