@@ -126,7 +126,8 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
             yield _summed(ids, parts)
 
     counted = rows.select("body", "label").mapInArrow(each, "prev long, word long, packed long")
-    sums = counted.groupBy("prev", "word").agg(*[f(F.expr(f"IF(packed & 1 = {c}, {e}, 0)")).alias(name) for c, label in ((1, "toxic"), (0, "ordinary"))
+    # Dealt out before it is summed: the packed rows are smaller than the four sums.
+    sums = counted.repartition("prev", "word").groupBy("prev", "word").agg(*[f(F.expr(f"IF(packed & 1 = {c}, {e}, 0)")).alias(name) for c, label in ((1, "toxic"), (0, "ordinary"))
                                                  for f, e, name in ((F.sum, "(packed & 4294967295) >> 1", label), (F.bit_or, "packed >>> 32", f"{label}_in"))])
 
     def contexts(name: str) -> Column:
