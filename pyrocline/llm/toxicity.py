@@ -61,7 +61,8 @@ def words_of(text: bytes) -> list[str]:
 
 
 def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) | 1  # never _START
+    """48 bits: of a billion words, one in 140,000 shares another's hash, and pairs travel in 12 bytes."""
+    return xxhash.xxh64_intdigest(word) >> 16 | 1  # never _START
 
 
 class _Ids(dict):
@@ -78,7 +79,7 @@ class _Ids(dict):
 
 
 def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    hashes = np.array(ids.hashes, np.uint64).view(np.int64)
+    hashes = np.array(ids.hashes, np.int64)
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.lexsort((keys & 127, keys & 1, keys >> 7))
     keys, n = keys[order], n[order]
@@ -87,7 +88,8 @@ def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordB
     first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     cells = np.bitwise_or.reduceat(np.int64(1) << (keys >> 1 & CELLS - 1), first)
     packed = cells << 32 | np.add.reduceat(n, first) << 1 | label[first]
-    return pa.record_batch([pa.array(x) for x in (hashes[pair[first] & ((1 << 31) - 1)], hashes[pair[first] >> 31], packed)], names=["prev", "word", "packed"])
+    word, prev = hashes[pair[first] >> 31], hashes[pair[first] & ((1 << 31) - 1)]
+    return pa.record_batch([pa.array(x) for x in (word << 16 | prev >> 32, prev.astype(np.int32), packed)], names=["high", "low", "packed"])
 
 
 def count_bigrams(rows: DataFrame) -> DataFrame:
@@ -98,7 +100,8 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
     that is copied has the same context everywhere and is no stronger evidence
     for that. Up to CELLS cells of the context's hash are told apart and counted
     linearly (Whang et al. 1990); where all are full, occurrences count. What a
-    task has counted travels as one number: cells, occurrences, class.
+    task has counted travels as one number: cells, occurrences, class; the two
+    words' 96 bits go before it as a long and an int.
     ``rows`` has body (binary) and label (1 or 0).
     """
 
@@ -125,9 +128,9 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
         if parts:
             yield _summed(ids, parts)
 
-    counted = rows.select("body", "label").mapInArrow(each, "prev long, word long, packed long")
+    counted = rows.select("body", "label").mapInArrow(each, "high long, low int, packed long")
     # Dealt out before it is summed: the packed rows are smaller than the four sums.
-    sums = counted.repartition("prev", "word").groupBy("prev", "word").agg(*[f(F.expr(f"IF(packed & 1 = {c}, {e}, 0)")).alias(name) for c, label in ((1, "toxic"), (0, "ordinary"))
+    sums = counted.repartition("high", "low").groupBy("high", "low").agg(*[f(F.expr(f"IF(packed & 1 = {c}, {e}, 0)")).alias(name) for c, label in ((1, "toxic"), (0, "ordinary"))
                                                  for f, e, name in ((F.sum, "(packed & 4294967295) >> 1", label), (F.bit_or, "packed >>> 32", f"{label}_in"))])
 
     def contexts(name: str) -> Column:
@@ -135,7 +138,8 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
         linear = F.round(-CELLS * F.ln(1 - F.least(cells, F.lit(CELLS - 1)) / CELLS))
         return F.when(cells == CELLS, F.col(name)).otherwise(F.least(F.col(name), linear.cast("long"))).alias(name)
 
-    return sums.select("prev", "word", contexts("toxic"), contexts("ordinary"))
+    prev = F.expr("(high & 65535) << 32 | (low & 4294967295)")
+    return sums.select(prev.alias("prev"), F.shiftrightunsigned("high", 16).alias("word"), contexts("toxic"), contexts("ordinary"))
 
 
 def _evidence(a: str, b: str, all_a: str, all_b: str) -> Column:
@@ -215,8 +219,8 @@ def _lookup(entries: DataFrame) -> Lookup:
 
 
 def _signed(word: str) -> int:
-    value = _word_hash(word)
-    return value - (1 << 64) if value >> 63 else value
+    """The word's hash as tables hold it; 48 bits have no sign."""
+    return _word_hash(word)
 
 
 class _Scorer:
