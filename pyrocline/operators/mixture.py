@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Square degrees; below it a component's spread counts as this.
+LEAST_VARIANCE = 1e-18
+
 
 def _vectors(points: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["lon", "lat"], outputCol="place", handleInvalid="skip").transform(points.where("lon IS NOT NULL AND lat IS NOT NULL"))
@@ -18,14 +21,41 @@ def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 100) -
     return GaussianMixture(k=max(2, components), seed=seed, maxIter=rounds, tol=1e-6, featuresCol="place").fit(_vectors(points))
 
 
+def _posteriors(model: GaussianMixtureModel, points: DataFrame) -> DataFrame:
+    """``det_id, posterior`` of the points with a place: the share of each component, from log densities.
+
+    Each covariance is inverted once, on the driver, its eigenvalues held above
+    ``LEAST_VARIANCE``, so components of a single place or line have a density too.
+    """
+    rows = []
+    for weight, gauss in zip(model.weights, model.gaussians, strict=True):
+        values, vectors = np.linalg.eigh(gauss.cov.toArray())
+        values = np.maximum(values, LEAST_VARIANCE)
+        inverse = (vectors / values) @ vectors.T
+        rows.append((*gauss.mean, inverse[0, 0], inverse[0, 1], inverse[1, 1], np.log(max(weight, np.finfo(float).tiny)) - 0.5 * np.log(values).sum()))
+    lon, lat, xx, xy, yy, base = (F.lit(np.array(c, float)) for c in zip(*rows, strict=True))
+
+    def log_density(i: Column) -> Column:
+        dx, dy = F.col("lon") - F.get(lon, i), F.col("lat") - F.get(lat, i)
+        return F.get(base, i) - 0.5 * (F.get(xx, i) * dx * dx + 2 * F.get(xy, i) * dx * dy + F.get(yy, i) * dy * dy)
+
+    logs = F.transform(F.sequence(F.lit(0), F.lit(len(rows) - 1)), log_density)
+    placed = points.select("det_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    found = placed.where("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)").select("det_id", logs.alias("logs"))
+    found = found.select("det_id", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("shares"))
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    return found.select("det_id", F.transform("shares", lambda x: x / total).alias("posterior"))
+
+
 def assign(model: GaussianMixtureModel, points: DataFrame) -> DataFrame:
-    """``det_id, label``: the likeliest component of each point."""
-    return model.transform(_vectors(points)).select("det_id", F.col("prediction").cast("long").alias("label"))
+    """``det_id, label``: the likeliest component of each point, of several the first."""
+    likeliest = F.array_position("posterior", F.array_max("posterior")) - 1
+    return _posteriors(model, points).select("det_id", likeliest.cast("long").alias("label"))
 
 
 def assign_soft(model: GaussianMixtureModel, points: DataFrame, least: float = 0.4) -> DataFrame:
     """``det_id, label, probability``: every component whose posterior is above ``least``; a point may have none, one or two."""
-    found = model.transform(_vectors(points)).select("det_id", F.posexplode(vector_to_array("probability")).alias("label", "probability"))
+    found = _posteriors(model, points).select("det_id", F.posexplode("posterior").alias("label", "probability"))
     return found.where(F.col("probability") > least).select("det_id", F.col("label").cast("long").alias("label"), "probability")
 
 

@@ -163,6 +163,22 @@ def test_mixture(spark):
     assert sorted(round(m[1]) for m in mixture.means(model)) == [0, 5]
 
 
+def test_mixture_posteriors(spark):
+    draw = np.random.default_rng(1)
+    places = np.concatenate([draw.normal(0, 0.5, (60, 2)), draw.normal(1, 0.5, (60, 2))])
+    frame = points(spark, [tuple(map(float, p)) for p in places])
+    model = mixture.fit(frame, 2)
+    density = np.empty((120, 2))
+    for k, (weight, gauss) in enumerate(zip(model.weights, model.gaussians, strict=True)):
+        away, cov = places - gauss.mean.toArray(), gauss.cov.toArray()
+        density[:, k] = weight * np.exp(-0.5 * np.einsum("ni,ij,nj->n", away, np.linalg.inv(cov), away)) / np.sqrt(np.linalg.det(cov))
+    share = density / density.sum(axis=1, keepdims=True)
+    ids = [r.det_id for r in frame.orderBy("det_id").collect()]
+    own = {(r.det_id, r.label): r.probability for r in mixture.assign_soft(model, frame, 0.0).collect()}
+    assert len(own) == 240 and all(abs(own[i, k] - share[n, k]) < 1e-9 for n, i in enumerate(ids) for k in (0, 1))
+    assert [r.label for r in mixture.assign(model, frame).orderBy("det_id").collect()] == share.argmax(axis=1).tolist()
+
+
 def test_command_line(spark, tmp_path):
     blob = [(0.5 + 0.001 * k, 0.5) for k in range(6)] + [(0.8, 0.8), (9.0, 9.0)]
     lines = ["gmtco_point,FID,frp,uuid", *(f"POINT ({x} {y}),{k % 3},{k + 1},u{k}" for k, (x, y) in enumerate(blob))]
