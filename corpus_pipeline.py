@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyrocline.llm import decontamination, mixing, simhash, tokens, toxicity
+from pyrocline.llm import decontamination, mixing, near_copies, tokens, toxicity
 from pyrocline.storage import settle
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked as the SimHash query links them."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    return near_copies.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
