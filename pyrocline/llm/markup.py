@@ -31,6 +31,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
 _ENDS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": ("option", ("select", "datalist")),
          "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr"))}
+_LISTS = frozenset("ul ol dl table".split())
 _KEEP = frozenset("html body main".split())
 _PRIOR = {"article": 1.5, "main": 1.3, "body": 0.6, "html": 0.3}
 
@@ -179,12 +180,8 @@ def text_under(page: Page, roots: Iterable[int] | None = None) -> str:
     return "\n\n".join(x for x in joined if x)
 
 
-def container_scores(page: Page) -> dict[int, float]:
-    """How much article text each container holds.
-
-    A block's characters, those in links taken off twice, count whole for the
-    container nearest to it, half for the next, a third for the one above.
-    """
+def _block_values(page: Page) -> list[tuple[int, float]]:
+    """(node, characters) of each block that isn't dropped, those in links taken off: below zero where links prevail."""
     blocks: dict[int, list[float]] = {}
     linked = [False] * len(page.parent)
     for node in range(1, len(page.parent)):
@@ -193,12 +190,72 @@ def container_scores(page: Page) -> dict[int, float]:
         if not page.dropped[node] and (n := len(text.strip())):
             entry = blocks.setdefault(block, [node, 0.0])
             entry[1] += -n if linked[node] else n
+    return [(int(node), value) for node, value in blocks.values()]
+
+
+def container_scores(page: Page) -> dict[int, float]:
+    """How much article text each container holds.
+
+    A block's characters, those in links taken off twice, count whole for the
+    container nearest to it, half for the next, a third for the one above.
+    """
     scores: dict[int, float] = {}
-    for node, value in blocks.values():
-        up, step = int(node), 0
+    for node, value in _block_values(page):
+        up, step = node, 0
         while up >= 0 and step < 3:
             if page.tag[up] in CONTAINERS:
                 step += 1
                 scores[up] = scores.get(up, 0.0) + value / step
             up = page.parent[up]
     return {n: s * _PRIOR.get(page.tag[n], 1.0) for n, s in scores.items() if s > 0}
+
+
+def _sums(page: Page) -> tuple[list[float], list[float]]:
+    """Characters below each node, of the blocks that are text and of those that are links."""
+    text, links = [0.0] * len(page.parent), [0.0] * len(page.parent)
+    for at, value in _block_values(page):
+        (text if value > 0 else links)[at] += abs(value)
+    for at in range(len(page.parent) - 1, 0, -1):
+        text[page.parent[at]] += text[at]
+        links[page.parent[at]] += links[at]
+    return text, links
+
+
+def article_around(page: Page, node: int) -> int:
+    """The widest container from ``node`` up whose text beyond the one before it is more text than links.
+
+    So headlines, leads and parts in sibling containers belong to the article.
+    Containers and lists beside ``node`` that are links rather than text are
+    dropped from ``page``; what names or tags call clutter has been before.
+    """
+    around, up = {0}, node
+    while up > 0:
+        around.add(up)
+        up = page.parent[up]
+    text, links = _sums(page)
+    inside = [False] * len(page.parent)
+    for at in range(1, len(page.parent)):
+        inside[at] = at == node or inside[page.parent[at]]
+        beside = at not in around and not inside[at]
+        page.dropped[at] = page.dropped[at] or beside and (page.dropped[page.parent[at]] or page.tag[at] in CONTAINERS | _LISTS and links[at] > text[at])
+    text, links = _sums(page)
+    best, up = node, page.parent[node]
+    while up >= 0:
+        if page.tag[up] in CONTAINERS and text[up] - text[best] > links[up] - links[best]:
+            best = up
+        up = page.parent[up]
+    return best
+
+
+def share_inside(page: Page, roots: Iterable[int], own: int) -> float:
+    """Share of the text below ``own`` that is also below any of ``roots``; 1 without text."""
+    inside, mine = [False] * len(page.parent), [False] * len(page.parent)
+    for root in roots:
+        inside[root] = True
+    mine[own] = True
+    for node in range(1, len(page.parent)):
+        inside[node] = inside[node] or inside[page.parent[node]]
+        mine[node] = mine[node] or mine[page.parent[node]]
+    sizes = [(len(text.strip()), inside[node]) for _, node, text in page.pieces if mine[node] and not page.dropped[node]]
+    whole = sum(n for n, _ in sizes)
+    return sum(n for n, ok in sizes if ok) / whole if whole else 1.0

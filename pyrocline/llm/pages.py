@@ -1,12 +1,12 @@
 """Main text of web pages by consensus host paths.
 
-1. Each page scores its containers and votes for the generalised tag-class path
-   of the best ones.
+1. Each page scores its containers, widens the best one to the article around it
+   and votes for the generalised tag-class paths of that article and the next best.
 2. Votes are summed by host and path, in the tasks first and then in a shuffle;
    each host's winning path is one row.
 3. Every page is read again and its text taken from the containers at its
-   host's winning path. A page that has none there, or hardly any text, falls
-   back on its own best container.
+   host's winning path. A page whose own article isn't nearly all there falls back
+   on its own article.
 
 Skew: a host with a third of all pages has one row for each path and task in
 the vote, and the winning paths are sent to the pages, not pages to their host.
@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyrocline.llm.common import small_enough
-from pyrocline.llm.markup import container_scores, parse, text_under
+from pyrocline.llm.markup import article_around, container_scores, parse, share_inside, text_under
 from pyrocline.storage import settle
 
 #: Containers that a page votes for, and the whole of its best vote.
 BALLOT, VOTE = 3, 1000
-#: Below this share of the text of a page's own best container, the host's path isn't taken.
-LEAST_SHARE = 0.2
+#: Where less than this share of a page's own article is at the host's path, the path isn't taken.
+LEAST_SHARE = 0.95
 #: A host's winning path is copied this often where it has to be joined by shuffling.
 SALT = 16
 _HELD = 50_000
@@ -40,26 +40,30 @@ def host_of(url: str = "url") -> Column:
 
 
 def ballot(source: str) -> dict[str, int]:
-    """Votes of one page for its best containers' paths; the best gets VOTE, the others their share of it."""
+    """Votes of one page: VOTE for the path of its article, for the next best containers' paths their share of the best one's score."""
     page = parse(source)
     scores: dict[str, float] = {}
-    for node, value in container_scores(page).items():
+    found = container_scores(page)
+    for node, value in found.items():
         scores[page.path[node]] = scores.get(page.path[node], 0.0) + value
     best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:BALLOT]
-    return {path: round(VOTE * value / best[0][1]) for path, value in best}
+    if not best:
+        return {}
+    first = min((n for n in found if page.path[n] == best[0][0]), key=lambda n: (-found[n], n))
+    votes = {path: round(VOTE * value / best[0][1]) for path, value in best[1:]}
+    return votes | {page.path[article_around(page, first)]: VOTE}
 
 
 def main_text(source: str, path: str | None) -> str:
-    """Text at the containers with ``path``, else at the page's own best container, else of the whole page."""
+    """Text at the containers with ``path`` if the page's own article is nearly all there, else of that article, else of the whole page."""
     page = parse(source)
     scores = container_scores(page)
-    own = min(scores, key=lambda n: (-scores[n], n), default=None)
-    fallback = text_under(page, None if own is None else [own])
-    if path is None:
-        return fallback
-    at_path = [n for n, p in enumerate(page.path) if n and p == path and not page.dropped[n]]
-    found = text_under(page, at_path) if at_path else ""
-    return found if len(found) >= LEAST_SHARE * len(fallback) and found else fallback
+    best = min(scores, key=lambda n: (-scores[n], n), default=None)
+    own = None if best is None else article_around(page, best)
+    at_path = [n for n, p in enumerate(page.path) if n and p == path and not page.dropped[n]] if path is not None else []
+    if at_path and share_inside(page, at_path, 0 if own is None else own) >= LEAST_SHARE and (found := text_under(page, at_path)):
+        return found
+    return text_under(page, None if own is None else [own])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:

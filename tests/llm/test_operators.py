@@ -217,6 +217,21 @@ def test_main_text(spark):
     assert pages.extract(frame.where("false")).count() == 0
 
 
+def test_main_text_is_the_whole_article(spark):
+    body, lead = " ".join(["sentence of the body."] * 40), " ".join(["lead of it."] * 15)
+    links = "<div class=x>" + "".join(f"<p><a href=/{k}>a linked title of another page {k}</a></p>" for k in range(9)) + "</div>"
+    sources = [f"<body><article><h1>Headline</h1><div class=content><p>{body}</p></div></article>{links}</body>",
+               f"<body><article><div class=lead><p>{lead}</p></div><div class=text><p>{body}</p></div></article></body>",
+               f"<body><h1>Headline</h1><div class=a><div class=content><p>{body}</p></div></div>{links}</body>"]
+    wanted = [f"Headline\n\n{body}", f"{lead}\n\n{body}"]
+    assert [pages.main_text(s, None) for s in sources[:2]] == wanted
+    assert pages.main_text(sources[2], None) == wanted[0]
+    part = "html>body>article>div.text"  # a host's path that holds most of the article, but not its lead
+    assert part.removeprefix("html>") in markup.parse(sources[1]).path and pages.main_text(sources[1], part.removeprefix("html>")) == wanted[1]
+    frame = spark.createDataFrame([(k, "http://h.com/", sources[k % 2]) for k in range(8)], "page_id long, url string, html string")
+    assert {(r.page_id, r.text) for r in pages.extract(frame).collect()} == {(k, wanted[k % 2]) for k in range(8)}
+
+
 @pytest.mark.parametrize(("source", "text"), [
     ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\n\nb"), ("<div>1 < 2 & 3</div>", "1 < 2 & 3"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
     ("<ul><li>a<li>b</ul>", "a\n\nb"), ("<p>cut <a hr", "cut"), ("<div><!-- x --><p>a&nbsp; b</p></div>", "a b"), ("<p><b>x<i>y</b>z</i></p>", "xyz"), ("<", "<")])
