@@ -178,8 +178,7 @@ def outline_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[mixture.GaussianMixtureModel, DataFrame]:
-    points = detections.from_events(spark, sf_dir)
-    return mixture.fit(points, 12, rounds=10), points
+    return _run(spark, sf_dir).mixture()
 
 
 def gmm_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +199,7 @@ def gmm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classifier_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a classifier trained to tell large clusters."""
     table = clusters.features(_members(spark, sf_dir)).withColumn("target", (F.col("num_in_cluster") > 30).cast("double"))
-    model = scoring.train(table, "target", 10)
+    model = scoring.train(table, "target")
     return spark.createDataFrame([*zip(clusters.FEATURES, model.weights, strict=True), ("intercept", model.intercept)], "input string, weight double")
 
 

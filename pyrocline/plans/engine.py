@@ -74,12 +74,15 @@ class Run:
         """Members of single-linkage clusters at distance ``pixel`` with more than three points."""
         return self.members_of(density.cluster(self.inside(), self.settings.pixel, 1), 4)
 
-    def mixture_members(self, seed: int = 42) -> tuple[DataFrame, mixture.GaussianMixtureModel]:
-        """Members by the likeliest component of a mixture with as many components as there are single-linkage clusters."""
+    def mixture(self, seed: int = 42) -> tuple[mixture.GaussianMixtureModel, DataFrame]:
+        """A mixture with as many components as there are single-linkage clusters, and the rows in bounds it was fitted to."""
         inside = settle(self.inside(), "inside")
         pieces = density.cluster(inside, self.settings.pixel, 1)
-        count = pieces.select("label").distinct().count()
-        model = mixture.fit(inside, count, seed)
+        return mixture.fit(inside, pieces.select("label").distinct().count(), seed), inside
+
+    def mixture_members(self, seed: int = 42) -> tuple[DataFrame, mixture.GaussianMixtureModel]:
+        """Members by the likeliest component of the mixture."""
+        model, inside = self.mixture(seed)
         return self.members_of(mixture.assign(model, inside)), model
 
     def classified(self, members: DataFrame, model: scoring.Linear | None, base: str = "detections") -> DataFrame:

@@ -252,3 +252,10 @@ def test_queries_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 23
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registered_mixture_has_a_component_for_each_piece(spark):
+    folder = "/root/testdata/sf0.001"
+    run = catalog._run(spark, folder)
+    pieces = density.cluster(run.inside(), run.settings.pixel, 1).select("label").distinct().count()
+    assert pieces > 12 and catalog.queries()["gmm_centroids"](spark, folder).count() == pieces
