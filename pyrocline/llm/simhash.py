@@ -160,11 +160,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs``, of each group of near-duplicates only the one with the smallest id.
 
-    Rows with a null id are told apart by their text and stand behind all others.
+    Rows are told apart by id and text; of several texts with the smallest id one
+    stays. Rows with a null id stand behind all others.
     """
-    columns = docs.columns
-    stand_in = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62))
-    keyed = docs.withColumn("__row_id", stand_in)
-    found = near_duplicates(keyed.select(F.col("__row_id").alias("doc_id"), "text"), radius, shingle_words)
-    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row_id")).distinct()
-    return keyed.join(extra, "__row_id", "left_anti").dropDuplicates(["__row_id"]).select(*columns)
+    columns, keys = docs.columns, ["__row_id", "__text_hash"]
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    stand_in = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(text_hash, 2) + F.lit(1 << 62))
+    keyed = docs.withColumn("__row_id", stand_in).withColumn("__text_hash", text_hash)
+    found = near_duplicates(keyed.select(F.col("__text_hash").alias("doc_id"), "text"), radius, shingle_words)
+    found = found.select(F.col("doc_id").alias("__text_hash"), "component_id").distinct()
+    heads = keyed.select(*keys).join(found, "__text_hash").groupBy("component_id").agg(F.min(F.struct(*keys)).alias("head")).select("head.*")
+    return keyed.join(heads, keys, "left_semi").dropDuplicates(keys).select(*columns)

@@ -414,6 +414,11 @@ def test_deduplicate(spark):
     assert sorted((r.doc_id, (r.text or "")[:7]) for r in kept.collect()) == [(1, ""), (4, "x"), (5, "the cat"), (6, "word wo")]
 
 
+def test_deduplicate_tells_rows_apart_by_id_and_text(spark):
+    frame = table(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (2, "u v w x y z", "s"), (3, "k l m n o p", "s"), (3, "q q q r r r", "s")])
+    assert sorted((r.doc_id, r.text[0]) for r in simhash.deduplicate(frame).collect()) == [(1, "a"), (2, "u"), (3, "k"), (3, "q")]
+
+
 # -- mixing
 
 def level_fill(sizes, weights):
