@@ -5,8 +5,9 @@ down to its own continuation counts (in how many contexts of its class a word
 occurs) and from there to shared continuation counts of both classes, so an
 expression too rare to tell the classes apart backs off to the same probability
 in both and says nothing. Entries whose class counts don't differ significantly
-from the shared ones are pruned to that backoff. A text is scored by the
-difference of its log-likelihoods, divided by its words; isotonic calibration on
+from the shared ones are pruned to that backoff, and so are those that are less
+than 12 times (``MIN_RATIO``) likelier in one class. A text is scored by the sum of
+the remaining entries' log ratios, divided by its words; isotonic calibration on
 labelled rows kept out of the models turns that into a score from 0 to 1.
 
 Counts: every labelled row outside the calibration part is counted, whole. Each
