@@ -15,6 +15,11 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``row`` (all columns of ``docs``) beside the named ones, doc_id and text unless given, so that no column's name can clash with an operator's own."""
+    return docs.select(F.struct("*").alias("row"), *(columns or ("doc_id", "text")))
+
+
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """Unsigned crc32 of the id's decimal text; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))

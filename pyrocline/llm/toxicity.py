@@ -1,20 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary documents. Each interpolates
-down to its own continuation counts (in how many contexts of its class a word
-occurs) and from there to shared continuation counts of both classes, so an
-expression too rare to tell the classes apart backs off to the same probability
-in both and says nothing. Entries whose class counts don't differ significantly
-from the shared ones are pruned to that backoff, and so are those that are less
-than 12 times (``MIN_RATIO``) likelier in one class. A text is scored by the sum of
-the remaining entries' log ratios, divided by its words; isotonic calibration on
-labelled rows kept out of the models turns that into a score from 0 to 1.
+Two bigram models, one of toxic and one of ordinary documents, over shared
+backoff counts. The shared part is an interpolated Kneser-Ney bigram model of
+both classes: absolute discounts, a backoff weight for each context, continuation
+counts (in how many contexts a word occurs) below. A class has its own word
+probabilities, discounted in proportion to its size and interpolated with the
+shared ones, so an expression too rare to tell the classes apart has the same
+probability in both and says nothing. They scale the shared bigram model, with an
+exact normaliser for each context (Kneser, Peters & Klakow 1997):
+
+    P_class(w | v) = P_shared(w | v) * r_class(w) / Z_class(v),  r_class(w) = P_class(w) / P_shared(w),
+    Z_class(v) = sum over w of P_shared(w | v) * r_class(w)
+
+A text's ratio is (log P_toxic - log P_ordinary) / words; P_shared cancels, so what
+scoring looks up is log r of each word and log Z of each context. Isotonic
+calibration on labelled rows kept out of the models makes it a score from 0 to 1.
+No word, pair or ratio is pruned. Class bigram counts backed off separately were
+tried and are worse (README): the classes then differ by what their samples
+happen to contain, not least by the mix of languages, which Z takes out.
 
 Counts: every labelled row outside the calibration part is counted, whole. Each
 task counts its own rows with arrays, and partial counts are summed by a shuffle
-on the bigram, so no single expression is hot. The tables of counts grow with
-the input and stay tables; the pruned model goes to the executors only while it
-has at most ``BROADCAST_ROWS`` entries, else texts' expressions are joined with it.
+on the pair, so no single expression is hot. The tables of counts grow with the
+input and stay tables; the words' weights go to the executors while they are at
+most ``BROADCAST_WEIGHTS``, else texts' words are joined with them.
 """
 
 from __future__ import annotations
@@ -27,11 +36,11 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyrocline.llm.calibration import Isotonic, fit_isotonic
-from pyrocline.llm.common import BROADCAST_ROWS, crc_of_id, small_enough, text_bytes, with_label
+from pyrocline.llm.common import crc_of_id, packed, small_enough, text_bytes, with_label
 from pyrocline.storage import settle
 
 #: Labels are learned where crc32(doc_id) mod HOLD_OF is not HOLD_AT.
@@ -40,14 +49,14 @@ HOLD_OF, HOLD_AT = 4, 2
 CALIBRATE_OF = 5
 #: Calibration takes about this many rows at most, chosen by a hash of the id.
 CALIBRATION_ROWS = 200_000
-#: An entry stays if its log-likelihood ratio statistic reaches this and its log ratio is at least MIN_RATIO.
-MIN_EVIDENCE = 15.0
-#: Bigrams are many and repeat with copied passages, so they need more.
-MIN_PAIR_EVIDENCE = 30.0
-MIN_RATIO = 2.5
+#: Absolute discounts: of a pair's and a context count in the shared model; of a word's count in the smaller class
+#: (in the larger one in proportion to its words).
+SHARED_DISCOUNT, CLASS_DISCOUNT = 0.5, 4.0
+#: Weight of the shared word probabilities in each class's.
+SHARED_WEIGHT = 0.97
 THRESHOLD = 0.3
-#: Cells by which contexts are told apart.
-CELLS = 32
+#: Weights that may be sent to every executor, 24 bytes each.
+BROADCAST_WEIGHTS = 4_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _START = 0
 #: Words that a task remembers while scoring.
@@ -81,29 +90,18 @@ class _Ids(dict):
 
 def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     hashes = np.array(ids.hashes, np.int64)
-    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((keys & 127, keys & 1, keys >> 7))
-    keys, n = keys[order], n[order]
-    pair, label = keys >> 7, keys & 1
-    kind = pair << 1 | label
-    first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
-    cells = np.bitwise_or.reduceat(np.int64(1) << (keys >> 1 & CELLS - 1), first)
-    packed = cells << 32 | np.add.reduceat(n, first) << 1 | label[first]
-    word, prev = hashes[pair[first] >> 31], hashes[pair[first] & ((1 << 31) - 1)]
-    return pa.record_batch([pa.array(x) for x in (word << 16 | prev >> 32, prev.astype(np.int32), packed)], names=["high", "low", "packed"])
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    word, prev = hashes[keys >> 32], hashes[keys >> 1 & (1 << 31) - 1]
+    return pa.record_batch([pa.array(x) for x in (word << 16 | prev >> 32, prev.astype(np.int32), n << 1 | keys & 1)], names=["high", "low", "packed"])
 
 
 def count_bigrams(rows: DataFrame) -> DataFrame:
-    """``prev, word, toxic, ordinary``: in how many contexts of each class word follows prev (hashes; 0: start of text).
-
-    Contexts are told apart by the word before prev: these are the continuation
-    counts that a trigram model backs off to, its own order left out. A passage
-    that is copied has the same context everywhere and is no stronger evidence
-    for that. Up to CELLS cells of the context's hash are told apart and counted
-    linearly (Whang et al. 1990); where all are full, occurrences count. What a
-    task has counted travels as one number: cells, occurrences, class; the two
-    words' 96 bits go before it as a long and an int.
-    ``rows`` has body (binary) and label (1 or 0).
+    """``prev, word, toxic, ordinary``: how often word follows prev in each class (hashes; 0: start of text).
+
+    What a task has counted travels as one number, the count and the class; the
+    two words' 96 bits go before it as a long and an int. ``rows`` has body
+    (binary) and label (1 or 0).
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +113,8 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
             for body, label in zip(batch.column("body"), batch.column("label").to_pylist(), strict=True):
                 words = words_of(body.as_buffer().to_pybytes())
                 if words:
-                    own = np.fromiter((ids[w] for w in words), np.int64, len(words))
-                    cell = np.fromiter((ids.hashes[i] >> 8 & CELLS - 1 for i in own[:-2].tolist()), np.int64, max(len(words) - 2, 0))
-                    prev = np.concatenate(([0], own[:-1]))
-                    cell = np.concatenate(([0, 0], cell))[:len(own)]
-                    keys.append(np.unique((own << 31 | prev) << 7 | cell << 1 | label))
+                    own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                    keys.append((own << 31 | np.concatenate(([0], own[:-1]))) << 1 | label)
             if keys:
                 parts.append(np.unique(np.concatenate(keys), return_counts=True))
                 held += len(parts[-1][0])
@@ -130,196 +125,146 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
             yield _summed(ids, parts)
 
     counted = rows.select("body", "label").mapInArrow(each, "high long, low int, packed long")
-    # Dealt out before it is summed: the packed rows are smaller than the four sums.
-    sums = counted.repartition("high", "low").groupBy("high", "low").agg(*[f(F.expr(f"IF(packed & 1 = {c}, {e}, 0)")).alias(name) for c, label in ((1, "toxic"), (0, "ordinary"))
-                                                 for f, e, name in ((F.sum, "(packed & 4294967295) >> 1", label), (F.bit_or, "packed >>> 32", f"{label}_in"))])
-
-    def contexts(name: str) -> Column:
-        cells = F.bit_count(f"{name}_in")
-        linear = F.round(-CELLS * F.ln(1 - F.least(cells, F.lit(CELLS - 1)) / CELLS))
-        return F.when(cells == CELLS, F.col(name)).otherwise(F.least(F.col(name), linear.cast("long"))).alias(name)
-
+    # Dealt out before it is summed: the packed rows are smaller than the two sums.
+    sums = counted.repartition("high", "low").groupBy("high", "low").agg(
+        *[F.sum(F.expr(f"IF(packed & 1 = {c}, packed >> 1, 0)")).alias(name) for c, name in ((1, "toxic"), (0, "ordinary"))])
     prev = F.expr("(high & 65535) << 32 | (low & 4294967295)")
-    return sums.select(prev.alias("prev"), F.shiftrightunsigned("high", 16).alias("word"), contexts("toxic"), contexts("ordinary"))
-
+    return sums.select(prev.alias("prev"), F.shiftrightunsigned("high", 16).alias("word"), "toxic", "ordinary")
 
-def _evidence(a: str, b: str, all_a: str, all_b: str) -> Column:
-    """Log-likelihood ratio statistic (Dunning 1993) of counts a and b out of all_a and all_b."""
-    p = f"(({a} + {b}) / ({all_a} + {all_b}))"
 
-    def term(n: str, total: str) -> str:
-        return f"(IF({n} > 0, {n} * ln({n} / ({total} * {p})), 0) + IF({total} > {n}, ({total} - {n}) * ln(({total} - {n}) / ({total} * (1 - {p}))), 0))"
+@dataclass(frozen=True)
+class Model:
+    """``weights`` (a stored table: word, target, context) and ``unknown``, the target weight of every other word.
 
-    return F.when(F.expr(f"{a} + {b} > 0 AND {a} + {b} < {all_a} + {all_b} AND {all_a} > 0 AND {all_b} > 0"), F.expr(f"2 * ({term(f'double({a})', f'double({all_a})')} + {term(f'double({b})', f'double({all_b})')})")).otherwise(0.0)
-
-
-def model_entries(bigrams: DataFrame) -> DataFrame:
-    """``prev, word, weight``: log ratio toxic : ordinary of the entries that tell the classes apart; prev null: for any previous word.
-
-    ``bigrams`` is read several times and should be a stored table.
+    A text's ratio sums each word's target and, of the start and of all words but the last, context.
     """
-    shape = bigrams.agg(*[F.sum(F.expr(e).cast("long")).alias(n) for n, e in {
-        "types": "1", "toxic_types": "int(toxic > 0)", "ordinary_types": "int(ordinary > 0)", "toxic": "toxic", "ordinary": "ordinary",
-        "ones": "int(toxic + ordinary = 1)", "twos": "int(toxic + ordinary = 2)"}.items()]).first().asDict()
-    shape = {k: v or 0 for k, v in shape.items()}
-    discount = shape["ones"] / (shape["ones"] + 2 * shape["twos"]) if shape["twos"] else 0.75
-    discount = min(max(discount, 0.1), 0.95)
-    if not shape["toxic"] or not shape["ordinary"]:
-        return bigrams.where("false").select("prev", "word", F.lit(0.0).alias("weight"))
-
-    # Lower order: continuation counts of the class, interpolated with those of both classes.
-    words = bigrams.groupBy("word").agg(F.count("*").alias("kinds"), F.sum((F.col("toxic") > 0).cast("long")).alias("a"), F.sum((F.col("ordinary") > 0).cast("long")).alias("b"))
-    vocabulary = words.agg(F.sum((F.col("a") > 0).cast("long")), F.sum((F.col("b") > 0).cast("long"))).first()
-    shared = f"(kinds / {shape['types']}d)"
-
-    def lower(count: str, kind: str, vocab: int) -> str:
-        total = f"{shape[kind + '_types']}d"
-        return f"(greatest({count} - {discount}d, 0d) / {total} + {discount * vocab}d / {total} * {shared})"
-
-    low = [lower("a", "toxic", vocabulary[0]), lower("b", "ordinary", vocabulary[1])]
-    words = words.select("word", F.expr(low[0]).alias("low_toxic"), F.expr(low[1]).alias("low_ordinary"),
-                         _evidence("a", "b", f"{shape['toxic_types']}D", f"{shape['ordinary_types']}D").alias("evidence"))
-    words = settle(words, "words")
-    ratio = F.ln(F.col("low_toxic") / F.col("low_ordinary"))
-    singles = words.where(F.col("evidence") >= MIN_EVIDENCE).select(F.lit(None).cast("long").alias("prev"), "word", ratio.alias("weight"))
-
-    # Highest order, for pairs seen often enough to be evidence on their own.
-    pairs = bigrams.where(F.col("toxic") + F.col("ordinary") >= 3)
-    asked = settle(pairs.select("prev").distinct(), "asked")  # most words precede no such pair
-    asked = F.broadcast(asked) if small_enough(asked) else asked
-    contexts = bigrams.join(asked, "prev", "left_semi").groupBy("prev").agg(
-        F.sum("toxic").alias("all_a"), F.sum("ordinary").alias("all_b"), F.sum((F.col("toxic") > 0).cast("long")).alias("kinds_a"), F.sum((F.col("ordinary") > 0).cast("long")).alias("kinds_b"))
-    pairs = pairs.join(contexts, "prev")
-    pairs = pairs.withColumn("evidence", _evidence("toxic", "ordinary", "all_a", "all_b")).where(F.col("evidence") >= MIN_PAIR_EVIDENCE)
-    pairs = pairs.join(words.drop("evidence"), "word")
-
-    def upper(count: str, total: str, kinds: str, low: str) -> str:
-        return f"IF({total} > 0, (greatest({count} - {discount}d, 0d) + {discount}d * {kinds} * {low}) / greatest({total}, 1), {low})"
-
-    ratio = F.ln(F.expr(upper("toxic", "all_a", "kinds_a", "low_toxic")) / F.expr(upper("ordinary", "all_b", "kinds_b", "low_ordinary")))
-    both = singles.unionByName(pairs.select("prev", "word", ratio.alias("weight")))
-    return both.where(F.abs("weight") >= MIN_RATIO)
-
-
-@dataclass
-class Lookup:
-    """The entries as dictionaries by hash: of a word, and of a word by its previous one."""
-
-    single: dict[int, float]
-    pair: dict[int, dict[int, float]]
-
-
-def _lookup(entries: DataFrame) -> Lookup:
-    out = Lookup({}, {})
-    for prev, word, weight in entries.collect():  # at most BROADCAST_ROWS, as checked by the caller
-        if prev is None:
-            out.single[word] = weight
-        else:
-            out.pair.setdefault(prev, {})[word] = weight
-    return out
-
-
-def _signed(word: str) -> int:
-    """The word's hash as tables hold it; 48 bits have no sign."""
-    return _word_hash(word)
+
+    weights: DataFrame
+    unknown: float
+
+
+def fit_model(bigrams: DataFrame, discount: float = SHARED_DISCOUNT, class_discount: float = CLASS_DISCOUNT, shared_weight: float = SHARED_WEIGHT) -> Model:
+    """The weights by the counts of :func:`count_bigrams`, a stored table; without counts of both classes all are 0."""
+    words = settle(bigrams.groupBy("word").agg(F.count("*").alias("kinds"), F.sum("toxic").alias("a"), F.sum("ordinary").alias("b")), "words")
+    all_a, all_b, kinds, known = (x or 0 for x in words.agg(F.sum("a"), F.sum("b"), F.sum("kinds"), F.count("*")).first())
+    if not all_a or not all_b:
+        nothing = words.where("false").select("word", F.lit(0.0).alias("target"), F.lit(0.0).alias("context"))
+        return Model(settle(nothing, "weights"), 0.0)
+    off = {"a": class_discount * all_a / min(all_a, all_b), "b": class_discount * all_b / min(all_a, all_b)}
+    own = {"a": all_a, "b": all_b}
+    removed = dict(zip("ab", words.agg(*[F.sum(F.least(F.col(c).cast("double"), F.lit(off[c]))) for c in "ab"]).first(), strict=True))
+    rest = {c: (1 - shared_weight) * removed[c] / own[c] + shared_weight for c in "ab"}  # r of a word that the class doesn't tell apart
+
+    # Shared continuation counts, and the shared word probabilities that back off to them.
+    low = F.greatest(F.col("kinds") - F.lit(discount), F.lit(0.0)) / kinds + discount * known / kinds / (known + 1)
+    one = F.greatest(F.col("a") + F.col("b") - F.lit(discount), F.lit(0.0)) / (all_a + all_b) + discount * known / (all_a + all_b) * F.col("low")
+    rated = words.withColumn("low", low).withColumn("one", one)
+    rated = rated.select("word", "low", *[((1 - shared_weight) * F.greatest(F.col(c) - F.lit(off[c]), F.lit(0.0)) / (own[c] * F.col("one")) + F.lit(rest[c])).alias(f"r_{c}") for c in "ab"])
+    rated = settle(rated, "rated")
+    # The sum of low * r over all words, the unknown ones' share included.
+    whole = dict(zip("ab", rated.agg(*[F.sum(F.col("low") * F.col(f"r_{c}")) for c in "ab"]).first(), strict=True))
+    whole = {c: whole[c] + discount * known / kinds / (known + 1) * rest[c] for c in "ab"}
+
+    # Only words that some class tells apart differ from rest; they are far fewer than the pairs.
+    apart = settle(rated.where(" OR ".join(f"abs(r_{c} - {rest[c]!r}D) > 0" for c in "ab")).select("word", "r_a", "r_b"), "apart")
+    joined = bigrams.join(F.broadcast(apart) if small_enough(apart) else apart, "word", "left")
+    seen = F.greatest(F.col("toxic") + F.col("ordinary") - F.lit(discount), F.lit(0.0))
+    backed = F.least(F.col("toxic") + F.col("ordinary"), F.lit(discount))
+    z = joined.groupBy("prev").agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n"), F.sum(backed).alias("backed"),
+                                   *[F.sum(seen * F.coalesce(F.col(f"r_{c}"), F.lit(rest[c]))).alias(f"z_{c}") for c in "ab"])
+    context = F.ln((F.col("z_b") + F.col("backed") * whole["b"]) / (F.col("z_a") + F.col("backed") * whole["a"]))
+    unknown = float(np.log(rest["a"] / rest["b"]))
+    weights = z.select(F.col("prev").alias("word"), context.alias("context")).join(apart, "word", "full_outer")
+    weights = weights.select("word", F.coalesce(F.ln(F.col("r_a") / F.col("r_b")), F.lit(unknown)).alias("target"), F.coalesce("context", F.lit(0.0)).alias("context"))
+    return Model(settle(weights, "weights"), unknown)
 
 
 class _Scorer:
-    """Scores texts by a :class:`Lookup`; words met are remembered, up to a bound."""
-
-    def __init__(self, model: Lookup) -> None:
-        self.model = model
-        self.known: dict[str, tuple[float, int]] = {}
-        self.heads: dict[str, dict[int, float]] = {}
-
-    def _meet(self, word: str) -> float:
-        if len(self.known) > REMEMBERED:
-            self.known, self.heads = {}, {}
-        code = _signed(word)
-        weight = self.model.single.get(code, 0.0)
-        self.known[word] = (weight, code)
-        if code in self.model.pair:
-            self.heads[word] = self.model.pair[code]
-        return weight
-
-    def ratio(self, text: bytes) -> tuple[float, int]:
-        """(sum of the words' log ratios, number of words)."""
-        words = words_of(text)
-        known = self.known
-        weights = [known[w][0] if w in known else self._meet(w) for w in words]
-        heads = self.heads
-        if heads or _START in self.model.pair:
-            for i, prev in enumerate(["", *words[:-1]] if words else []):
-                following = self.model.pair.get(_START) if not i else heads.get(prev)
-                if following:
-                    found = following.get(known[words[i]][1] if words[i] in known else _signed(words[i]))
-                    if found is not None:
-                        weights[i] = found
-        return sum(weights), len(words)
-
-
-def with_ratio(docs: DataFrame, entries: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with ``__ratio``: the mean log ratio toxic : ordinary of each text's words, 0 without words.
-
-    Up to ``limit`` entries go to the executors; more are joined with the texts' expressions.
+    """Scores texts by sorted word hashes and their weights; words met are remembered, up to a bound."""
+
+    def __init__(self, keys: np.ndarray, target: np.ndarray, context: np.ndarray, unknown: float) -> None:
+        self.keys, self.target, self.context, self.unknown = keys, target, context, unknown
+        self.both: dict[str, float] = {}
+        self.start = self._weights(np.array([_START]))[1][0]
+
+    def _weights(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.full(len(codes), self.unknown), np.zeros(len(codes))
+        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        found = self.keys[at] == codes
+        return np.where(found, self.target[at], self.unknown), np.where(found, self.context[at], 0.0)
+
+    def ratios(self, texts: list[bytes]) -> list[float]:
+        """Mean log ratio of the words of each text, 0 without words."""
+        listed = [words_of(x) for x in texts]
+        if len(self.both) > REMEMBERED:
+            self.both = {}
+        new = [w for w in set().union(*listed) if w not in self.both]
+        target, context = self._weights(np.fromiter(map(_word_hash, new), np.int64, len(new)))
+        self.both.update(zip(new, (target + context).tolist(), strict=True))
+        last = self._weights(np.fromiter((_word_hash(x[-1]) if x else 1 for x in listed), np.int64, len(listed)))[1].tolist()
+        return [(sum(map(self.both.__getitem__, x)) + self.start - z) / len(x) if x else 0.0 for x, z in zip(listed, last, strict=True)]
+
+
+def with_ratio(docs: DataFrame, model: Model, limit: int = BROADCAST_WEIGHTS) -> DataFrame:
+    """``docs`` (with text) and ``ratio``: the mean log ratio toxic : ordinary of each text's words, 0 without words.
+
+    Up to ``limit`` weights go to the executors; more are joined with the texts' words.
     """
-    if small_enough(entries, limit):
-        model = docs.sparkSession.sparkContext.broadcast(_lookup(entries))
+    if small_enough(model.weights, limit):
+        table = model.weights.toArrow()
+        keys = table.column("word").to_numpy()
+        order = np.argsort(keys)
+        arrays = (keys[order], table.column("target").to_numpy()[order], table.column("context").to_numpy()[order], model.unknown)
+        sent = docs.sparkSession.sparkContext.broadcast(arrays)
 
         @F.pandas_udf("double")
         def ratios(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            scorer = _Scorer(model.value)
+            scorer = _Scorer(*sent.value)
             for batch in batches:
-                found = [scorer.ratio(x) for x in batch]
-                yield pd.Series([s / n if n else 0.0 for s, n in found], dtype=float)
+                yield pd.Series(scorer.ratios(batch.tolist()), dtype=float)
 
-        return docs.withColumn("__ratio", ratios(text_bytes()))
+        return docs.withColumn("ratio", ratios(text_bytes()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "row", "prev", "word", "n", "words"]
+        names = ["one", "two", "word", "targets", "contexts"]
         for batch in batches:
-            for doc_id, row, body in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), batch.column("body"), strict=True):
+            for one, two, body in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), batch.column("body"), strict=True):
                 words = words_of(body.as_buffer().to_pybytes())
                 if words:
-                    codes = np.fromiter(map(_signed, words), np.int64, len(words))
-                    pairs, n = np.unique(np.stack([np.concatenate(([_START], codes[:-1])), codes]), axis=1, return_counts=True)
-                    size = len(n)
-                    yield pa.record_batch([pa.array([doc_id] * size, pa.int64()), pa.array([row] * size, pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]),
-                                           pa.array(n.astype(np.int64)), pa.array([len(words)] * size, pa.int64())], names=names)
-
-    # Rows with the same id and text have the same ratio, so one of them is spread out.
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", F.xxhash64(text_bytes()))
-    rows = keyed.select(F.col("__id").alias("id"), F.col("__row").alias("row"), text_bytes().alias("body")).dropDuplicates(["id", "row"])
-    grams = rows.mapInArrow(spread, "id long, row long, prev long, word long, n long, words long")
-    singles = entries.where("prev IS NULL").select("word", F.col("weight").alias("single"))
-    pairs = entries.where("prev IS NOT NULL").select("prev", "word", F.col("weight").alias("pair"))
-    weighed = grams.join(pairs, ["prev", "word"], "left").join(singles, "word", "left").withColumn("w", F.col("n") * F.coalesce("pair", "single", F.lit(0.0)))
-    sums = weighed.groupBy("id", "row").agg((F.sum("w") / F.max("words")).alias("mean"))
-    sums = sums.select(*[F.col(c).alias(f"__s_{c}") for c in sums.columns])
-    same = F.col("__id").eqNullSafe(F.col("__s_id")) & (F.col("__row") == F.col("__s_row"))
-    joined = keyed.join(sums, same, "left").withColumn("__ratio", F.coalesce("__s_mean", F.lit(0.0)))
-    return joined.drop("__id", "__row", "__s_id", "__s_row", "__s_mean")
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Isotonic]:
-    """The model's entries and the calibration, learned from ``labels.toxic`` of the rows that aren't held out."""
+                    codes, n = np.unique(np.fromiter(map(_word_hash, words), np.int64, len(words)), return_counts=True)
+                    contexts = n - (codes == _word_hash(words[-1]))
+                    size = len(n) + 1
+                    yield pa.record_batch([pa.array([one] * size, pa.int64()), pa.array([two] * size, pa.int64()), pa.array(np.append(codes, _START)),
+                                           pa.array(np.append(n, 0)), pa.array(np.append(contexts, 1))], names=names)
+
+    # The ratio depends on the text alone: rows with the same text add up to the same mean.
+    keyed = docs.withColumns({"one": F.xxhash64(F.lit(1), text_bytes()), "two": F.xxhash64(F.lit(2), text_bytes())})
+    grams = keyed.select("one", "two", text_bytes().alias("body")).mapInArrow(spread, "one long, two long, word long, targets long, contexts long")
+    weighed = grams.join(model.weights, "word", "left").select(
+        "one", "two", "targets", (F.col("targets") * F.coalesce("target", F.lit(model.unknown)) + F.col("contexts") * F.coalesce("context", F.lit(0.0))).alias("w"))
+    means = weighed.groupBy("one", "two").agg((F.sum("w") / F.sum("targets")).alias("mean"))
+    return keyed.join(means, ["one", "two"], "left").withColumn("ratio", F.coalesce("mean", F.lit(0.0))).drop("one", "two", "mean")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, Isotonic]:
+    """The model and the calibration, learned from ``labels.toxic`` of the rows that aren't held out."""
     crc = crc_of_id()
     known = with_label(docs.select("doc_id", "text").where(crc % HOLD_OF != HOLD_AT), labels, "toxic").withColumn("label", F.least(F.col("label"), F.lit(1)))
     part = F.floor(crc / HOLD_OF) % CALIBRATE_OF
-    counted = count_bigrams(known.where(part != 0).select(text_bytes().alias("body"), "label"))
-    entries = settle(model_entries(settle(counted, "bigrams")), "entries")
+    model = fit_model(settle(count_bigrams(known.where(part != 0).select(text_bytes().alias("body"), "label")), "bigrams"))
     own = known.where(part == 0)
     rows = own.count()
     if rows > CALIBRATION_ROWS:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (CALIBRATION_ROWS << 20) // rows)
-    scored = with_ratio(own, entries).select("__ratio", "label").toArrow()
-    return entries, fit_isotonic(scored.column("__ratio").to_numpy(), scored.column("label").to_numpy())
+    scored = with_ratio(own.select("text", "label"), model).select("ratio", "label").toArrow()
+    return model, fit_isotonic(scored.column("ratio").to_numpy(), scored.column("label").to_numpy())
 
 
 def with_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``__ratio`` and ``__score``."""
-    entries, scale = learn(docs, labels)
-    return with_ratio(docs, entries).withColumn("__score", scale.column("__ratio"))
+    """``row, doc_id, text, ratio, score``: ``row`` holds all columns of ``docs``."""
+    model, scale = learn(docs, labels)
+    return with_ratio(packed(docs), model).withColumn("score", scale.column("ratio"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -332,10 +277,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are read, so other columns may have any name.
     """
     found = with_score(docs.select("doc_id", "text"), labels)
-    return found.select("doc_id", (crc_of_id() % HOLD_OF == HOLD_AT).alias("held_out"), F.col("__score").alias("score"),
-                        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__ratio").alias("ratio"))
+    return found.select("doc_id", (crc_of_id() % HOLD_OF == HOLD_AT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "ratio")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with their columns."""
-    return with_score(docs, labels).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that aren't predicted toxic, with their columns, whatever these are called."""
+    return with_score(docs, labels).where(F.col("score") < THRESHOLD).select("row.*")

@@ -144,20 +144,77 @@ def test_toxicity_finds_planted_words(spark):
     assert len(blank) == len(ODD) and not any(r.predicted for r in blank)
 
 
-def test_toxicity_ways_agree(spark, docs, labels):
-    entries, _ = toxicity.learn(docs, labels)
-    key = lambda f: sorted((r.doc_id or -1, r.__ratio if False else r["__ratio"]) for r in f.collect())
-    both = docs.select("doc_id", "text").unionByName(table(spark, ODD).select("doc_id", "text"))
-    plain, joined = key(toxicity.with_ratio(both, entries)), key(toxicity.with_ratio(both, entries, limit=-1))
-    assert [a for a, _ in plain] == [a for a, _ in joined]
-    assert [b for _, b in plain] == pytest.approx([b for _, b in joined], abs=1e-9)
-
-
-def test_bigram_contexts(spark):
+def plain_ratios(training, texts):
+    """Ratios by the definition: class probabilities of every word that a context could have, one after the other."""
+    words = lambda t: toxicity.words_of((t or "").encode())
+    pairs, ends = {1: Counter(), 0: Counter()}, toxicity.SHARED_DISCOUNT
+    for text, label in training:
+        own = words(text)
+        pairs[label].update(zip(["", *own], own, strict=False))
+    both = pairs[0] + pairs[1]
+    size = {c: sum(pairs[c].values()) for c in (0, 1)}
+    count = {c: Counter() for c in (0, 1)}
+    for c in (0, 1):
+        for (_, w), n in pairs[c].items():
+            count[c][w] += n
+    kinds = Counter(w for _, w in both)
+    known, unknown = sorted(kinds), "\0unknown"
+    total, all_kinds = sum(size.values()), len(both)
+    low = {w: max(kinds[w] - ends, 0) / all_kinds + ends * len(known) / all_kinds / (len(known) + 1) for w in [*known, unknown]}
+    one = {w: max(count[0][w] + count[1][w] - ends, 0) / total + ends * len(known) / total * low[w] for w in low}
+    assert sum(low.values()) == pytest.approx(1) and sum(one.values()) == pytest.approx(1)
+    own, share = {}, toxicity.SHARED_WEIGHT
+    for c in (0, 1):
+        off = toxicity.CLASS_DISCOUNT * size[c] / min(size.values())
+        gone = sum(min(n, off) for n in count[c].values()) / size[c]
+        own[c] = {w: (1 - share) * (max(count[c][w] - off, 0) / size[c] + gone * one[w]) + share * one[w] for w in low}
+        assert sum(own[c].values()) == pytest.approx(1)
+    after = {}
+    for (v, w), n in both.items():
+        after.setdefault(v, {})[w] = n
+
+    def probabilities(v, c):
+        seen = after.get(v, {})
+        n = sum(seen.values())
+        shared = {w: (max(seen.get(w, 0) - ends, 0) + ends * len(seen) * low[w]) / n if n else one[w] for w in low}
+        scaled = {w: p * own[c][w] / one[w] for w, p in shared.items()}
+        return {w: p / sum(scaled.values()) for w, p in scaled.items()}
+
+    memory = {}
+    for text in texts:
+        listed = words(text)
+        sums = 0.0
+        for v, w in zip(["", *listed], listed, strict=False):
+            for c in (0, 1):
+                if (v, c) not in memory:
+                    memory[v, c] = probabilities(v, c)
+                sums += (2 * c - 1) * np.log(memory[v, c].get(w, memory[v, c][unknown]))
+        yield sums / len(listed) if listed else 0.0
+
+
+def test_toxicity_ratios_by_definition(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    word = lambda bad: str(draw.choice(["vile", "mean", "bad"])) if draw.random() < bad else f"w{int(draw.zipf(1.4)) % 60}"
+    training = [(" ".join(word(0.1 if k % 4 == 0 else 0.0) for _ in range(draw.integers(1, 40))), int(k % 4 == 0)) for k in range(160)] + [("", 1), (None, 0), ("lone", 0)]
+    texts = [" ".join(word(0.05) for _ in range(draw.integers(1, 30))) + " never seen" * (k % 2) for k in range(30)] + ["", None, "x", "vile", "vile vile", "word " * 30_000, "vile"]
+    rows = spark.createDataFrame([(bytearray((t or "").encode()), x) for t, x in training], "body binary, label int").repartition(3)
+    counts = toxicity.count_bigrams(rows)
+    model = toxicity.fit_model(counts.cache())
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    wanted = list(plain_ratios(training, texts))
+    assert max(wanted) > 0.001 > 0 > min(wanted)
+    for limit in (toxicity.BROADCAST_WEIGHTS, -1):
+        found = {r.doc_id: r.ratio for r in toxicity.with_ratio(frame, model, limit).collect()}
+        assert [found[k] for k in range(len(texts))] == pytest.approx(wanted, abs=1e-9)
+    one_class = toxicity.fit_model(toxicity.count_bigrams(rows.where("label = 1")).cache())
+    assert all(r.ratio == 0 for limit in (10, -1) for r in toxicity.with_ratio(frame, one_class, limit).collect())
+
+
+def test_bigram_counts(spark):
     rows = [(b"a b c", 1), (b"a b c", 1), (b"x b c", 0), (b"", 1), (b"a", 0)]
     found = toxicity.count_bigrams(spark.createDataFrame([(bytearray(b), x) for b, x in rows], "body binary, label int")).collect()
-    names = {toxicity._signed(w): w for w in "abcx"} | {0: ""}
-    assert {(names[r.prev], names[r.word]): (r.toxic, r.ordinary) for r in found} == {("", "a"): (1, 1), ("", "x"): (0, 1), ("a", "b"): (1, 0), ("x", "b"): (0, 1), ("b", "c"): (1, 1)}
+    names = {toxicity._word_hash(w): w for w in "abcx"} | {0: ""}
+    assert {(names[r.prev], names[r.word]): (r.toxic, r.ordinary) for r in found} == {("", "a"): (2, 1), ("", "x"): (0, 1), ("a", "b"): (2, 0), ("x", "b"): (0, 1), ("b", "c"): (2, 1)}
 
 
 def test_quality(spark):
