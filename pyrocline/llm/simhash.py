@@ -88,20 +88,25 @@ def _ring_keys(distinct: DataFrame, radius: int) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.seg", "k.val")
 
 
-def _chain_condition(radius: int) -> str:
-    """SQL for: the chain that starts at ``seg`` (which is equal) keeps within its budgets, to its full length."""
-    parts = segments(radius)
-    differ = "(x.fp ^ y.fp)"
+def chain_condition(parts: list[str], radius: int) -> str:
+    """SQL for: of the segments' differences ``parts``, in a ring, some chain keeps within its budgets to its full length.
+
+    Budgets are in proportion to a chain's length; the full chain's is ``radius``,
+    the Hamming check. True for all fingerprints within ``radius``.
+    """
+    ring, count = parts + parts, len(parts)
+    chains = [" AND ".join(f"{' + '.join(ring[k:k + step])} <= {step * radius // count}" for step in range(1, count + 1)) for k in range(count)]
+    return "(" + " OR ".join(f"({x})" for x in chains) + ")"
+
+
+def _linked(radius: int) -> str:
+    """SQL for: x and y, equal in the segment ``seg``, are within ``radius``, by the chain that starts there."""
+    parts = [f"bit_count((x.fp ^ y.fp) & {_mask(*s)})" for s in segments(radius)]
     whole = []
     for k in range(len(parts)):
-        tests = [f"x.seg = {k}"]
-        covered: list[str] = []
-        for step in range(1, len(parts) + 1):
-            covered.append(f"bit_count({differ} & {_mask(*parts[(k + step - 1) % len(parts)])})")
-            if step > 1:
-                tests.append(f"{' + '.join(covered)} <= {step * radius // len(parts)}")
-        whole.append("(" + " AND ".join(tests) + ")")
-    return "(" + " OR ".join(whole) + f") AND bit_count({differ}) <= {radius}"
+        tests = [f"{' + '.join((parts + parts)[k:k + step])} <= {step * radius // len(parts)}" for step in range(2, len(parts) + 1)]
+        whole.append("(" + " AND ".join([f"x.seg = {k}", *tests]) + ")")
+    return "(" + " OR ".join(whole) + ")"
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -119,7 +124,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMI
     crowded = settle(crowded, "crowded")
     sparse = keyed.join(crowded, ["seg", "val"], "left_anti")
     pairs = sparse.alias("x").join(
-        sparse.alias("y"), F.expr("x.seg = y.seg AND x.val = y.val AND x.fp < y.fp AND " + _chain_condition(radius))
+        sparse.alias("y"), F.expr("x.seg = y.seg AND x.val = y.val AND x.fp < y.fp AND " + _linked(radius))
     ).selectExpr("x.fp AS a", "y.fp AS b")
 
     flips = [F.array(*[F.expr(f"fp ^ shiftleft(1L, {bit})") for bit in range(BITS) if not s[0] <= bit < s[0] + s[1]]) for s in segments(radius)]
