@@ -7,10 +7,12 @@ sort sources by limit / weight; those below the water level take their limit,
 the others level * weight.
 
 Repetitions: with ratio target / size, each document is taken floor(ratio) times
-whole, and a seeded part of the documents once more. That part is filled in the
-order of a seeded hash until the remaining words are reached: first the few
-documents above 1/64 of their source (at most 64, first fit), then all others,
-so the words taken miss a target by about 1/128 of the source.
+whole, and a seeded part of the documents once more: those that come first in the
+order of a seeded hash, up to the remaining words. The hash knows nothing of sizes, so
+long and short documents are equally likely to be taken once more. The document at the
+cut is taken if its middle lies before it; what that leaves over or under is evened
+out by documents that fit into the difference, ``PASSES`` times in the same order
+(taken if words are missing, left out if there are too many).
 
 Skew: the order within a source is never sorted as a whole. Words are summed by
 source and hash cell; only rows of the one cell that the cut falls into are
@@ -22,16 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyrocline.llm.common import small_enough
+from pyrocline.llm.common import packed, small_enough
 from pyrocline.storage import settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 SEED = 42
-#: Documents above 1/LARGE of their source's words are placed first.
-LARGE = 64
-#: Hash cells for each source.
-CELLS = 4096
+#: Rounds that even out what the cut leaves.
+PASSES = 3
+#: Leading bits of the hash that tell a source's cells apart.
+CELL_BITS = 12
 
 
 def word_count(column: str = "text") -> Column:
@@ -82,37 +84,41 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     goal = targets(rows, weights, max_epochs).withColumn("whole", F.floor(ratio).cast("long"))
     goal = settle(goal.withColumn("spare", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     drawn = rows.alias("r").join(_lookup(goal).alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")), "left").select(
-        "r.*", "g.source_size", "g.target", "g.whole", "g.spare",
-        F.xxhash64(F.lit(seed), "r.doc_id", "r.text_hash").alias("draw"),
-        (F.col("r.size") * LARGE > F.col("g.source_size")).alias("large"))
-    kept = ["doc_id", "source", "text_hash", "size", "source_size", "target", "whole", "draw"]
-    out = [F.col(c) for c in kept[:6]]
-
-    # The few large documents (fewer than LARGE for each source): first fit in the order of the draw.
-    big = drawn.where("large").groupBy("source").agg(
-        F.first("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("draw", *[c for c in kept if c not in ("draw", "source")]))).alias("all"))
-    big = settle(big.select("source", F.explode(F.expr(
-        "aggregate(all, named_struct('left', spare, 'took', cast(array() AS array<bigint>)), (s, x) -> named_struct("
-        "'left', IF(x.size <= s.left, s.left - x.size, s.left), 'took', s.took || array(IF(x.size <= s.left, 1L, 0L))), "
-        "s -> transform(all, (x, i) -> named_struct('left', s.left, 'took', s.took[i], 'row', x)))")).alias("z")).select("source", "z.left", "z.took", "z.row.*"), "large")
-
-    # All others: sums by hash cell tell which cells are taken whole and which one is cut.
-    small = drawn.where("NOT large").withColumn("cell", F.pmod(F.col("draw"), F.lit(CELLS)))
-    room = big.select("source", "left").distinct()
-    cells = small.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("spare").alias("spare"))
-    cells = cells.alias("c").join(room.alias("b"), F.col("c.source").eqNullSafe(F.col("b.source")), "left").select(
-        "c.source", "c.cell", "c.words", F.coalesce("b.left", "c.spare").alias("room"))
+        "r.*", "g.source_size", "g.target", "g.whole", F.xxhash64(F.lit(seed), "r.doc_id", "r.text_hash").alias("draw"), F.lit(0).alias("once"))
+    left = goal.select("source", F.col("spare").alias("gap"))
+    for n in range(PASSES + 1):
+        drawn = settle(_even_out(drawn, left, middle=not n), "drawn")
+        taken = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("once")).alias("taken"))
+        left = goal.alias("g").join(taken.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.source", (F.col("g.spare") - F.col("t.taken")).alias("gap"))
+    return drawn.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("whole") + F.col("once")).alias("copies"))
+
+
+def _even_out(drawn: DataFrame, left: DataFrame, middle: bool) -> DataFrame:
+    """``drawn`` with ``once`` turned over for the first documents by their draw that fill ``left`` (source, gap: words missing, or too many below 0).
+
+    Only documents that fit into the gap are turned over; ``middle``: any, and the
+    one at the cut if its middle lies before it.
+    """
+    kept = drawn.columns
+    found = drawn.alias("s").join(_lookup(settle(left, "left")).alias("l"), F.col("s.source").eqNullSafe(F.col("l.source"))).select("s.*", "l.gap")
+    fits = (F.col("size") > 0) & (F.col("once") == (F.col("gap") < 0).cast("int"))
+    fits = fits if middle else fits & (F.col("size") <= F.abs("gap"))
+    found = found.withColumns({"fits": fits, "at": F.when(F.col("gap") < 0, F.bitwise_not("draw")).otherwise(F.col("draw"))})
+    found = found.withColumn("cell", F.shiftright("at", 64 - CELL_BITS))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("room", F.col("room") - F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    state = F.when(F.col("words") <= F.col("room"), "all").when(F.col("room") > 0, "cut").otherwise("none")
-    cells = settle(cells.select("source", "cell", "room", state.alias("state")), "cells")
+    cells = found.where("fits").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    cells = cells.withColumn("room", F.abs("gap") - F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    state = F.when(F.col("words") <= F.col("room"), "all").otherwise("cut")
+    cells = settle(cells.where("room > 0").select("source", "cell", "room", state.alias("state")), "cells")
     same_cell = F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.cell") == F.col("c.cell"))
-    small = small.alias("s").join(_lookup(cells).alias("c"), same_cell).select(*[f"s.{c}" for c in kept], "c.room", "c.state")
-    whole = small.where("state <> 'cut'").select(*out, (F.col("whole") + F.when((F.col("state") == "all") & (F.col("size") > 0), 1).otherwise(0)).alias("copies"))
-    order = Window.partitionBy("source").orderBy("draw", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = (F.col("size") > 0) & (F.sum("size").over(order) - F.col("size") / 2 <= F.col("room"))
-    cut = small.where("state = 'cut'").select(*out, (F.col("whole") + F.when(fits, 1).otherwise(0)).alias("copies"))
-    return whole.unionByName(cut).unionByName(big.select(*out, (F.col("whole") + F.col("took")).alias("copies")))
+    found = found.alias("s").join(_lookup(cells).alias("c"), same_cell, "left").select("s.*", "c.room", "c.state")
+    cut = (F.col("state") == "cut") & F.col("fits")
+    turned = F.col("once").bitwiseXOR((F.col("fits") & (F.col("state") == "all")).cast("int"))
+    rest = found.where(~F.coalesce(cut, F.lit(False))).withColumn("once", F.coalesce(turned, F.col("once")))
+    order = Window.partitionBy("source").orderBy("at", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.sum("size").over(order) - (F.col("size") / 2 if middle else F.lit(0)) <= F.col("room")
+    ends = found.where(cut).withColumn("once", F.col("once").bitwiseXOR(inside.cast("int")))
+    return rest.unionByName(ends).select(*kept)
 
 
 def _lookup(df: DataFrame) -> DataFrame:
@@ -124,12 +130,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float
 
     Rows that share id, text and source are taken equally often, the rounded mean.
     """
-    columns = docs.columns
-    plan = plan_mix(docs, weights, max_epochs, seed).groupBy(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(
-        F.round(F.avg("copies")).cast("int").alias("__copies"))
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumn("__text_hash", text_hash)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = keyed.join(plan.where("__copies > 0"), same)
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)
+    plan = plan_mix(docs, weights, max_epochs, seed).groupBy("doc_id", "text_hash", "source").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
+    keyed = packed(docs, "doc_id", "source").withColumn("text_hash", F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))))
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")) & F.col("d.source").eqNullSafe(F.col("p.source"))
+    joined = keyed.alias("d").join(plan.where("copies > 0").alias("p"), same)
+    return joined.select("d.row", F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("nth")).select("row.*")

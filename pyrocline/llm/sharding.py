@@ -4,17 +4,18 @@
    seeded hash, so reruns agree).
 2. Splitters: quantiles of the sampled keys by weight. The key is the text's
    hash, so equal texts lie side by side and sit in one shard where they fit.
-3. Range-partition: every record finds its range between the splitters. A range
-   that comes out overfull (a text with very many copies has one key) is
-   subdivided by a hash of the id.
-4. Exact sums of the ranges place them one after the other; a record's shard
-   follows from its position in bytes. Single records above 1/LARGE of a shard
-   are dealt out first, largest to emptiest, and the shards' remaining room is
-   what the ranges fill; so shards differ by about 1/LARGE at most, unless one
-   record alone exceeds a shard.
+3. Range-partition: every record finds its range between the splitters.
+4. Overfull ranges are subdivided: records larger than a range is meant to be come to
+   lie alone, the others (a text with very many copies has one key) are cut up by a
+   hash of the id.
+5. Exact sums of the pieces place them. Those of a single large record (fewer than
+   the ranges) go largest to emptiest, and the shards' remaining room is what the
+   others fill, one after the other; a record's shard follows from its position in
+   bytes. So shards differ by about a range at most, unless one record alone exceeds
+   a shard.
 
 The number of ranges grows with the bytes (``RANGE_BYTES``), so no task orders
-more than one range. The driver sees fewer than ``shards * LARGE`` sizes.
+more than one piece. The driver sees one size for each large record.
 """
 
 from __future__ import annotations
@@ -29,9 +30,7 @@ from pyrocline.llm.common import small_enough
 from pyrocline.storage import settle
 
 SHARDS = 24
-#: Records above 1/LARGE of a shard are dealt out one by one.
-LARGE = 64
-RANGES_PER_SHARD = 16
+RANGES_PER_SHARD = 64
 RANGE_BYTES = 256 << 20
 SAMPLES_PER_RANGE = 8
 #: Added to each text's bytes for its size.
@@ -113,16 +112,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None) -> D
     records = settle(_records(docs), "records")
     total = records.agg(F.sum("size")).first()[0] or 0
     ranges = ranges or max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
-    is_large = F.col("size") * (shards * LARGE) > F.lit(total)
-    small = find_range(records.where(~is_large), splitters(records.where(~is_large), ranges, max(total, 1)), ranges)
+    found = settle(find_range(records, splitters(records, ranges, max(total, 1)), ranges), "found")
 
     # Overfull ranges are subdivided.
-    sums = small.groupBy("part").agg(F.sum("size").alias("bytes"))
-    slices = F.ceil(F.col("bytes") * ranges / F.lit(float(max(total, 1)))).cast("long")
-    overfull = settle(sums.select("part", slices.alias("slices")).where("slices >= 2"), "overfull")
+    full = F.lit(max(total, 1) / ranges)
+    sums = found.groupBy("part").agg(F.sum("size").alias("bytes"), F.sum(F.when(F.col("size") <= full, F.col("size")).otherwise(0)).alias("rest"))
+    overfull = sums.where(F.col("bytes") > full).select("part", F.greatest(F.ceil(F.col("rest") / full), F.lit(1)).cast("long").alias("slices"))
+    overfull = settle(overfull, "overfull")
     overfull = F.broadcast(overfull) if small_enough(overfull) else overfull
     cut_up = F.coalesce(F.pmod(F.col("draw"), F.col("slices")), F.lit(0))
-    small = settle(small.join(overfull, "part", "left").select("doc_id", "size", "text_crc32", "key", "draw", "part", cut_up.alias("slice")), "ranged")
+    kept = ["doc_id", "size", "text_crc32", "key", "draw", "part"]
+    ranged = found.join(overfull, "part", "left").select(*kept, cut_up.alias("slice"), (F.col("slices").isNotNull() & (F.col("size") > full)).alias("alone"))
+    ranged = settle(ranged, "ranged")
+    small = ranged.where("NOT alone").drop("alone")
 
     # Ranges lie one after the other.
     line = Window.orderBy("part", "slice")
@@ -131,7 +133,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None) -> D
     units = settle(units, "units")
     small_bytes = units.agg(F.sum("bytes")).first()[0] or 0
     by_size = Window.orderBy(F.col("size").desc(), "key", "draw", "doc_id")
-    large = settle(records.where(is_large).withColumn("nth", F.row_number().over(by_size) - 1), "large")
+    large = settle(ranged.where("alone").select(*kept).withColumn("nth", F.row_number().over(by_size) - 1), "large")
     sizes = [r[0] for r in large.orderBy("nth").select("size").collect()]
     where, cuts = deal(sizes, shards, small_bytes)
 
