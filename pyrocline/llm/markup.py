@@ -18,13 +18,15 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
  head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option legend search""".split())
 CLOSES_P = BLOCK - frozenset("body head html td th tr tbody tfoot thead caption option legend dd dt li".split())
-DROPPED = frozenset("""head nav header footer aside form dialog menu script style noscript template svg math iframe object canvas audio video button select
+DROPPED = frozenset("""head nav header footer aside dialog menu script style noscript template svg math iframe object canvas audio video button select
  textarea title noembed noframes xmp search fieldset label input datalist""".split())
 CONTAINERS = frozenset("article main section div body td blockquote center html details figure".split())
 WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr
  notice notices alert popup modal overlay paywall sidebar sidebars sidenav rail widget widgets nav navbar navigation navi menu menus breadcrumb breadcrumbs pagination
  pager masthead topbar footer foot colophon copyright comment comments commentlist reply replies responses discussion disqus respond share sharing social
  related recommended recommendations newsletter subscribe subscription signup login toolbar skip""".split())
+#: Of WORDS, those that parts of an article are named by as well.
+OPEN_WORDS = frozenset("alert foot related recommended recommendations discussion responses rail widget widgets skip".split())
 HEAD_WORDS = frozenset("header head heading top".split())
 OWN_WORDS = frozenset("article entry post story content body main text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -40,16 +42,24 @@ def _words(value: str) -> list[list[str]]:
     return [[w for w in regex.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", token) if w] for token in value.split()]
 
 
-def _names_clutter(value: str) -> bool:
+#: What a node's names say: nothing, perhaps clutter, clutter.
+PLAIN, OPEN, CLUTTER = 0, 1, 2
+#: A form is kept if it holds at least this share of the page's text; a part that may be clutter, of the article's.
+FORM_SHARE, PART_SHARE = 0.5, 0.03
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _names_clutter(value: str) -> int:
+    found = PLAIN
     for words in _words(value):
         low = [w.lower().rstrip("0123456789") for w in words]
         if low[:1] in (["has"], ["with"], ["no"], ["is"], ["without"]):
             continue
-        if WORDS.intersection(low):
-            return True
+        if named := WORDS.intersection(low):
+            found = max(found, OPEN if named <= OPEN_WORDS else CLUTTER)
         if HEAD_WORDS.intersection(low) and "header" in low and not OWN_WORDS.intersection(low):
-            return True
-    return False
+            found = CLUTTER
+    return found
 
 
 @dataclass
@@ -60,7 +70,7 @@ class Page:
     tag: list[str] = field(default_factory=lambda: ["html"])
     path: list[str] = field(default_factory=lambda: [""])
     dropped: list[bool] = field(default_factory=lambda: [False])
-    named: list[bool] = field(default_factory=lambda: [False])
+    named: list[int] = field(default_factory=lambda: [PLAIN])
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
 
     def add(self, parent: int, tag: str, attrs: str) -> int:
@@ -73,10 +83,10 @@ class Page:
         style = found.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        clutter = False
+        clutter = PLAIN
         if tag not in _KEEP:
-            clutter = _names_clutter(names) if tag != "article" else bool(COMMENT_WORDS.intersection(w.lower() for ws in _words(names) for w in ws))
-            clutter = clutter or found.get("role", "").lower() in ROLES
+            clutter = _names_clutter(names) if tag != "article" else CLUTTER * bool(COMMENT_WORDS.intersection(w.lower() for ws in _words(names) for w in ws))
+            clutter = CLUTTER if found.get("role", "").lower() in ROLES else clutter
         self.parent.append(parent)
         self.tag.append(tag)
         step = tag + "".join(f".{x}" for x in classes)
@@ -86,7 +96,12 @@ class Page:
         return len(self.parent) - 1
 
     def settle(self) -> None:
-        """Drop what its names call clutter, unless the article is inside it; then pass that on to what is below."""
+        """Drop what names call clutter, unless the article is inside it, and small forms; then pass that on to what is below.
+
+        Inside an article, a part whose name may be clutter (OPEN_WORDS) is dropped
+        only if it is links rather than text, or a mere scrap: no section, no heading
+        and under PART_SHARE of the article's text. A form goes unless it holds FORM_SHARE of the page's text.
+        """
         holds = set()
         for node, tag in enumerate(self.tag):
             if (tag == "main" or tag == "article" and not self.named[node]) and not self.dropped[node]:
@@ -94,8 +109,28 @@ class Page:
                 while up >= 0 and up not in holds:
                     holds.add(up)
                     up = self.parent[up]
+        article = [-1] * len(self.parent)
         for node in range(1, len(self.parent)):
-            self.dropped[node] = self.dropped[node] or self.dropped[self.parent[node]] or (self.named[node] and node not in holds)
+            article[node] = node if self.tag[node] in ("article", "main") and not self.named[node] else article[self.parent[node]]
+        sizes: tuple[list[float], list[float]] | None = None
+        for node in range(1, len(self.parent)):
+            drop = self.named[node] != PLAIN and node not in holds
+            if self.tag[node] == "form" or drop and self.named[node] == OPEN and article[node] >= 0:
+                text, links = sizes = sizes or _sums(self)
+                if self.tag[node] == "form":
+                    drop = drop or text[node] < FORM_SHARE * text[0]
+                else:
+                    drop = text[node] <= links[node] or not (self.tag[node] == "section" or text[node] >= PART_SHARE * text[article[node]] or self._has_heading(node))
+            self.dropped[node] = self.dropped[node] or self.dropped[self.parent[node]] or drop
+
+    def _has_heading(self, node: int) -> bool:
+        inside = {node}
+        for below in range(node + 1, len(self.parent)):
+            if self.parent[below] in inside:
+                inside.add(below)
+                if self.tag[below] in _HEADINGS:
+                    return True
+        return False
 
 
 def parse(source: str) -> Page:
