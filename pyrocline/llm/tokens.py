@@ -13,7 +13,8 @@ A shard file has, one after the other:
 So any one document is read with two small reads and its own frame. The
 dictionary is the file ``dictionary`` beside the shards; a reader checks its hash.
 
-Documents are dealt out by ranges of ids, a shard for each range. A task writes
+Documents are dealt out by ranges of ids (equal ids by the text's begin and hash), a
+shard for each range of about ``FILE_BYTES`` of text. A task writes
 a file under a name of its own, and only files named in the manifest (written
 once, as a table) count, so attempts that were lost or repeated leave no trace
 in the result. Storage is reached through pyarrow's file systems, which know
@@ -50,6 +51,10 @@ LEVEL = 3
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 DICTIONARY_BYTES = 64 << 10
+#: Fewer samples than this, or fewer bytes, make a dictionary of their own content instead of a trained one.
+LEAST_SAMPLES, LEAST_SAMPLE_BYTES = 16, 16 << 10
+#: Text for each file, about.
+FILE_BYTES = 64 << 20
 #: The dictionary is trained on about this many documents, chosen by a hash of the text, and this many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16 << 10
 #: Encoded pieces between white space that a worker remembers before it starts anew.
@@ -170,7 +175,11 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> bytes:
-    """A zstandard dictionary trained on serialized ids of a bounded sample; empty if there is too little to train on."""
+    """A zstandard dictionary trained on serialized ids of a bounded sample.
+
+    Too small a sample for training is itself the dictionary (raw content);
+    without any text the dictionary is empty.
+    """
     rows = docs.where("text IS NOT NULL AND text <> ''")
     total = docs.count()
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < max(1, min(1 << 30, (SAMPLE_ROWS << 30) // max(total, 1))))
@@ -185,10 +194,13 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) ->
                 yield pa.record_batch([pa.array(out, pa.binary())], names=["ids"])
 
     samples = sorted(r.ids for r in sample.mapInArrow(each, "ids binary").collect())
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
-    except (zstandard.ZstdError, ValueError, MemoryError):
-        return b""
+    size = sum(map(len, samples))
+    if len(samples) >= LEAST_SAMPLES and size >= LEAST_SAMPLE_BYTES:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 8), samples).as_bytes()
+        except zstandard.ZstdError:  # nothing in the sample repeats
+            pass
+    return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -203,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     """Write the ids of all texts under ``path`` and return the stored manifest: part, file, docs, ids, base.
 
     ``base`` is the number of ids in all files before. Documents are ordered by
-    id, null ids first, equal ids by text.
+    id, null ids first, equal ids by the first 64 characters of the text, then by its hash.
     """
     rows = docs.select(F.col(columns[0]).cast("long").alias("doc_id"), F.col(columns[1]).alias("text"))
     dictionary = train_dictionary(rows, vocabulary, end_id)
@@ -245,7 +257,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             stream.close()
             yield pa.record_batch([pa.array([x]) for x in (context.partitionId(), name, len(ids), sum(counts))], names=["part", "file", "docs", "ids"])
 
-    dealt = rows.select("doc_id", text_bytes().alias("body")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "body")
+    # As many files as the text's bytes ask for, and as many tasks as the session has partitions for.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("begin"), F.col("hash")]
+    keyed = rows.select("doc_id", text_bytes().alias("body"), F.substring(F.coalesce("text", F.lit("")), 1, 64).alias("begin"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    dealt = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "body")
     manifest = settle(dealt.mapInArrow(each, "part long, file string, docs long, ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return settle(manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")
@@ -328,7 +345,7 @@ def encode_table(spark: SparkSession, docs: DataFrame, vocabulary: str | None =
     """Write the token files of ``docs`` (below a fresh shared folder unless ``path`` is given) and return what they hold.
 
     One row for each row of ``docs``. Null and empty texts have the end id
-    alone; null ids come first; equal ids are ordered by text; an empty table
+    alone; null ids come first; equal ids are ordered by the text's begin and hash; an empty table
     gives no file and an empty result. Only ``doc_id`` and ``text`` are read.
     """
     path = path or fresh_path(spark, "tokens")
