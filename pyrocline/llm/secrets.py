@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pyrocline.llm.common import small_enough
 from pyrocline.llm.secret_rules import BASE_KINDS, RULES, Query, Rule, check_rule, trigram_query, trigrams_of
+from pyrocline.storage import settle
 
 
 def _text() -> Column:
@@ -77,7 +78,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     for rule in rules:
         check_rule(rule)
-    found = candidates(postings(docs, rules), rules)
+    found = settle(candidates(postings(docs, rules), rules), "candidates")
     found = F.broadcast(found) if small_enough(found) else found
     rows = docs.select("doc_id", _text().alias("t"), F.xxhash64(_text()).alias("text_hash"))
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
