@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Copies of a lookup row that is joined by shuffling, for rows of one key to go to as many tasks.
+SALT = 16
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows."""
     return df.limit(limit + 1).count() <= limit
 
 
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row for each ``key``: sent to all tasks if few, else each row to SALT parts by the hash of ``by``."""
+    if small_enough(lookup):
+        return rows.join(F.broadcast(lookup), key)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    return salted.join(lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [key, "salt"]).drop("salt")
+
+
 def packed(docs: DataFrame, *columns: str) -> DataFrame:
     """``row`` (all columns of ``docs``) beside the named ones, doc_id and text unless given, so that no column's name can clash with an operator's own."""
     return docs.select(F.struct("*").alias("row"), *(columns or ("doc_id", "text")))

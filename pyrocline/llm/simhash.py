@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyrocline.llm.common import text_bytes
+from pyrocline.llm.common import join_hot, packed, text_bytes
 from pyrocline.operators.components import connected_components
 from pyrocline.storage import settle
 
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     members = settle(members, "members")
     heads = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = members.join(heads, "component").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(own, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -168,11 +168,11 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHIN
     Rows are told apart by id and text; of several texts with the smallest id one
     stays. Rows with a null id stand behind all others.
     """
-    columns, keys = docs.columns, ["__row_id", "__text_hash"]
+    keys = ["row_id", "text_hash"]
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     stand_in = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(text_hash, 2) + F.lit(1 << 62))
-    keyed = docs.withColumn("__row_id", stand_in).withColumn("__text_hash", text_hash)
-    found = near_duplicates(keyed.select(F.col("__text_hash").alias("doc_id"), "text"), radius, shingle_words)
-    found = found.select(F.col("doc_id").alias("__text_hash"), "component_id").distinct()
-    heads = keyed.select(*keys).join(found, "__text_hash").groupBy("component_id").agg(F.min(F.struct(*keys)).alias("head")).select("head.*")
-    return keyed.join(heads, keys, "left_semi").dropDuplicates(keys).select(*columns)
+    keyed = packed(docs).withColumn("row_id", stand_in).withColumn("text_hash", text_hash)
+    found = near_duplicates(keyed.select(F.col("text_hash").alias("doc_id"), "text"), radius, shingle_words)
+    found = found.select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
+    heads = keyed.select(*keys).join(found, "text_hash").groupBy("component_id").agg(F.min(F.struct(*keys)).alias("head")).select("head.*")
+    return keyed.join(heads, keys, "left_semi").dropDuplicates(keys).select("row.*")

@@ -289,6 +289,25 @@ def test_main_text_is_the_whole_article(spark):
     assert {(r.page_id, r.text) for r in pages.extract(frame).collect()} == {(k, wanted[k % 2]) for k in range(8)}
 
 
+def test_forms_and_open_names():
+    body = " ".join(["A sentence of the body."] * 30)
+    form = f"<body><form id=aspnetForm><input name=q><div class=c><h1>Head</h1><p>{body}</p></div></form></body>"
+    assert pages.main_text(form, None) == f"Head\n\n{body}"
+    small = f"<body><article><p>{body}</p><form><p>Your mail here, please</p><button>go</button></form></article></body>"
+    assert pages.main_text(small, None) == body
+    for name in ("related-work", "foot-notes", "alert"):
+        part = f"<body><article><h1>Head</h1><p>{body}</p><section class='{name}'><h2>Part</h2><p>Text of the part.</p></section></article></body>"
+        assert pages.main_text(part, None) == f"Head\n\n{body}\n\nPart\n\nText of the part."
+    for clutter in ("<div class=related-posts><a href=/a>another page</a><a href=/b>and one more</a></div>", "<div class=alert>Sale!</div>", "<section class=comments><h2>Two</h2><p>me too</p></section>",
+                    "<div class=ad><p>buy this and that</p></div>", "<div class=cookie-alert><h2>We</h2><p>use cookies</p></div>"):
+        assert pages.main_text(f"<body><article><p>{body}</p>{clutter}</article></body>", None) == body
+
+
+def test_very_long_page():
+    body = "word " * 400_000
+    assert pages.main_text(f"<body><nav><a href=/>x</a></nav><article><p>{body}</p></article></body>", None) == body.strip()
+
+
 @pytest.mark.parametrize(("source", "text"), [
     ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\n\nb"), ("<div>1 < 2 & 3</div>", "1 < 2 & 3"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
     ("<ul><li>a<li>b</ul>", "a\n\nb"), ("<p>cut <a hr", "cut"), ("<div><!-- x --><p>a&nbsp; b</p></div>", "a b"), ("<p><b>x<i>y</b>z</i></p>", "xyz"), ("<", "<")])
@@ -303,7 +322,7 @@ def test_token_files(spark, docs, tmp_path):
 
     plain = Tokenizer.from_file(tokens.vocabulary_path())
     odd = [(None, "null id"), (3, None), (-5, ""), (3, "again A.B, don't"), (9, "İx ΣΑΣ \x1cq <|endoftext|> a\0b K  "), (10, "long word " * 20_000)]
-    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("ids", docs.doc_id if False else pytest.importorskip("pyspark.sql.functions").lit(1))
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", "1 AS ids")
     found = tokens.encode_table(spark, frame, path=str(tmp_path / "t")).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in frame.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
     at, wanted = 0, []
@@ -329,6 +348,13 @@ def test_short_document_access(spark, docs, tmp_path):
         tokens.Shard(path, first.file, dictionary + b"x")
 
 
+def test_small_sample_is_the_dictionary(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a few words"), (2, "and others")], "doc_id long, text string")
+    dictionary = tokens.train_dictionary(frame, tokens.vocabulary_path())
+    assert dictionary and tokens.train_dictionary(frame.where("false"), tokens.vocabulary_path()) == b""
+    assert sorted(r.n_tokens > 1 for r in tokens.encode_table(spark, frame, path=str(tmp_path / "s")).collect()) == [True, True]
+
+
 def test_encoder_without_shortcuts():
     own = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
     assert not own.by_piece  # its tokens hold leading spaces
@@ -349,10 +375,20 @@ def test_shards(spark, docs, copies):
     for _, part in found.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
     held = found.groupby("shard")["size"].sum()
-    assert len(held) == 24 and held.max() - held.min() <= max(0.05 * held.mean(), 2 * 0)
+    assert len(held) == 24 and held.max() - held.min() <= 0.03 * held.mean()
     assert sorted(map(tuple, found.fillna(-1).itertuples(index=False))) == sorted(map(tuple, sharding.shard(own.repartition(7)).toPandas().fillna(-1).itertuples(index=False)))
 
 
+def test_every_record_has_its_range(spark, docs):
+    records = sharding._records(docs).cache()
+    total = records.selectExpr("sum(size)").first()[0]
+    cuts = sharding.splitters(records, 50, total).cache()
+    keys = sorted(r.key for r in cuts.collect())
+    found = sharding.find_range(records, cuts, 50).collect()
+    assert len(found) == records.count() and all(r.part == sum(k <= r.key for k in keys) for r in found)
+    assert 30 < len(keys) < 50
+
+
 def test_few_shards(spark):
     assert sharding.shard(table(spark, [])).count() == 0
     assert sorted(tuple(r)[1:] for r in sharding.shard(table(spark, [(1, None, "s")]), 3).collect()) == [(8, 0, 0, 0)]
@@ -397,6 +433,24 @@ def test_contamination(spark):
     assert decontamination.contaminated(frame.where("false"), bench).count() == 0
 
 
+def test_search_finds_what_aligning_whole_texts_finds(spark):
+    draw = np.random.default_rng(11)
+    word = lambda: f"w{int(draw.zipf(1.2)) % 3000}"
+    items = [[word() for _ in range(draw.integers(12, 50))] for _ in range(12)]
+    edits = [lambda x, k=k: [w if i % k != k - 1 else word() for i, w in enumerate(x)] for k in (2, 3, 4, 5, 6)]
+    edits += [lambda x, k=k: [w for i, w in enumerate(x) if i % k != k - 1] for k in (2, 3, 4)]
+    edits += [lambda x, k=k: [x[i ^ 1] if i // 2 % k == 0 and i ^ 1 < len(x) else w for i, w in enumerate(x)] for k in (1, 2, 3)]
+    edits += [lambda x: x[:len(x) // 2 + 1], lambda x: x[len(x) // 3:], lambda x: x]
+    rows = [(n, " ".join([word() for _ in range(40)] + edit(item) + [word() for _ in range(draw.integers(5, 90))])) for n, (item, edit) in enumerate((i, e) for i in items for e in edits)]
+    rows += [(5000, " ".join(word() for _ in range(60_000)) + " " + " ".join(items[0])), (None, " ".join(items[1])), (5001, None), (5002, "")]
+    names = {w: n for n, w in enumerate(sorted({w for x in items for w in x}), 1)}
+    code = lambda words: np.array([names.get(w, 0) for w in words], np.int64)
+    wanted = {(n, o) for n, text in rows for o, item in enumerate(items) if decontamination.align(code(item), code((text or "").split()))[0] >= decontamination.THRESHOLD * 2 * len(item)}
+    bench = spark.createDataFrame([(o, " ".join(x)) for o, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, [(n, t, "s") for n, t in rows]), bench).collect()}
+    assert len(wanted) > 100 and found == wanted
+
+
 def test_common_leak_is_found_everywhere(spark):
     item = "several quite rare words stand here in a row to be found again"
     rows = [(k, f"filler{k} " * 5 + item, "s") for k in range(60)] + [(100 + k, "nothing of the kind", "s") for k in range(20)]
@@ -507,8 +561,8 @@ def test_mix(spark, docs):
     for source in order:
         part = plan[plan.source.isna()] if source is None else plan[plan.source == source]
         assert part.target.iloc[0] == pytest.approx(wanted[source]) and part.source_size.iloc[0] == words[source] == part["size"].sum()
-        if len(part) > 3 * mixing.LARGE / 64 and part["size"].max() * 8 < words[source]:
-            assert part.taken.sum() == pytest.approx(wanted[source], abs=0.04 * words[source])
+        if len(part) > 3 and part["size"].max() * 8 < words[source]:
+            assert part.taken.sum() == pytest.approx(wanted[source], abs=0.02 * words[source])
     assert plan.target.groupby(plan.source.fillna("~")).first().sum() == pytest.approx(sum(words.values()))
     assert plan.copies.between(0, 3).all()
     again = mixing.plan_mix(own.repartition(5)).toPandas()
@@ -516,6 +570,21 @@ def test_mix(spark, docs):
     assert mixing.plan_mix(table(spark, [])).count() == 0
 
 
+def test_extra_copies_know_nothing_of_size(spark):
+    rows = [(k, "w " * (1200 if k % 6 == 0 else 40), f"s{k % 3}") for k in range(1500)]
+    plan = mixing.plan_mix(table(spark, rows)).toPandas()
+    checked = 0
+    for _, part in plan.groupby("source"):
+        ratio = part.target.iloc[0] / part.source_size.iloc[0]
+        assert abs((part["size"] * part.copies).sum() - part.target.iloc[0]) <= 40
+        if 0.1 < ratio % 1 < 0.9:
+            checked += 1
+            for size, own in part.groupby("size"):
+                extra = (own.copies - int(ratio)).mean()
+                assert abs(extra - ratio % 1) < 4 * (0.25 / len(own)) ** 0.5, size
+    assert checked
+
+
 def test_water_fill_caps(spark):
     rows = spark.createDataFrame([("a", 10, 5.0), ("b", 1000, 2.0), ("c", 40, 1.0), (None, 0, 5.0)], "source string, source_size long, weight double")
     found = {r.source: r.target for r in mixing.water_fill(rows).collect()}
