@@ -62,7 +62,7 @@ _START = 0
 #: Words that a task remembers while scoring.
 REMEMBERED = 200_000
 #: Distinct bigrams that a task holds before it hands over its counts.
-_FLUSH = 3_000_000
+_FLUSH = 2_000_000
 
 
 def words_of(text: bytes) -> list[str]:
@@ -90,8 +90,12 @@ class _Ids(dict):
 
 def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     hashes = np.array(ids.hashes, np.int64)
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    parts.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    keys, n = keys[first], np.add.reduceat(n, first)
     word, prev = hashes[keys >> 32], hashes[keys >> 1 & (1 << 31) - 1]
     return pa.record_batch([pa.array(x) for x in (word << 16 | prev >> 32, prev.astype(np.int32), n << 1 | keys & 1)], names=["high", "low", "packed"])
 
