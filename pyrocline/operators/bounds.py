@@ -28,17 +28,17 @@ def with_in_bounds(points: DataFrame, rings: list[Ring]) -> DataFrame:
     sides = edges(points.sparkSession, rings)
     side = F.struct("x1", "y1", "x2", "y2")
     packed = sides.groupBy("poly_id", "lon0", "lat0", "lon1", "lat1").agg(F.collect_list(side).alias("sides"))
-    cells = packed.withColumn("gx", F.expr("explode(sequence(cast(floor(lon0) AS int), cast(floor(lon1) AS int)))")).withColumn(
-        "gy", F.expr("explode(sequence(cast(floor(lat0) AS int), cast(floor(lat1) AS int)))"))
-    by_cell = cells.groupBy("gx", "gy").agg(F.collect_list(F.struct("sides")).alias("rings"))
+    cells = packed.withColumn("__cell_x", F.expr("explode(sequence(cast(floor(lon0) AS int), cast(floor(lon1) AS int)))")).withColumn(
+        "__cell_y", F.expr("explode(sequence(cast(floor(lat0) AS int), cast(floor(lat1) AS int)))"))
+    by_cell = cells.groupBy("__cell_x", "__cell_y").agg(F.collect_list(F.struct("sides")).alias("__rings"))
     keyed = points.withColumns({"__gx": F.floor("lon").cast("int"), "__gy": F.floor("lat").cast("int")})
-    joined = keyed.join(F.broadcast(by_cell), (F.col("__gx") == F.col("gx")) & (F.col("__gy") == F.col("gy")), "left")
+    joined = keyed.join(F.broadcast(by_cell), (F.col("__gx") == F.col("__cell_x")) & (F.col("__gy") == F.col("__cell_y")), "left")
 
     def per_side(sql: str) -> str:
         for name in ("x1", "y1", "x2", "y2"):
             sql = sql.replace(name, f"s.{name}")
         return sql
 
-    inside = (f"exists(rings, r -> size(filter(r.sides, s -> {per_side(crosses('lon', 'lat'))})) % 2 = 1 "
+    inside = (f"exists(__rings, r -> size(filter(r.sides, s -> {per_side(crosses('lon', 'lat'))})) % 2 = 1 "
               f"AND NOT exists(r.sides, s -> {per_side(on_edge('lon', 'lat'))}))")
-    return joined.withColumn("in_bounds", F.coalesce(F.expr(inside), F.lit(False))).drop("__gx", "__gy", "gx", "gy", "rings")
+    return joined.withColumn("in_bounds", F.coalesce(F.expr(inside), F.lit(False))).drop("__gx", "__gy", "__cell_x", "__cell_y", "__rings")

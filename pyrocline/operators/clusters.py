@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyrocline.functions.geodesic import with_distance
 from pyrocline.functions.geometry import ring_of_box
+from pyrocline.operators.numbering import numbered
 
 #: Order of the classifier's inputs (fixed).
 FEATURES = ("distance_mean", "distance_stddev", "intensity_mean", "intensity_stddev", "distance_max", "distance_min", "intensity_max", "intensity_min")
@@ -20,7 +21,7 @@ def exact_mean(column: str) -> Column:
 def membership(labels: DataFrame, min_members: int = 5) -> DataFrame:
     """``det_id, cluster_id``: points of clusters with at least ``min_members``, clusters renumbered from 0 in label order."""
     kept = labels.where("label >= 0").groupBy("label").count().where(F.col("count") >= min_members)
-    numbers = kept.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("cluster_id"))
+    numbers = numbered(kept, "label", "cluster_id")
     return labels.join(numbers, "label").select("det_id", "cluster_id")
 
 

@@ -15,10 +15,11 @@ the neighbouring component with the smallest id, which is its smallest core id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyrocline.operators.components import connected_components
+from pyrocline.operators.numbering import numbered
 from pyrocline.storage import settle
 
 _REACH = 2
@@ -42,10 +43,15 @@ def _around(cells: DataFrame, forward: bool = False) -> DataFrame:
 
 
 def neighbour_counts(points: DataFrame, eps: float) -> DataFrame:
-    """``det_id, neighbours``: points within ``eps`` of each point, itself included."""
-    grid = _gridded(points, eps)
-    pairs = _around(grid).alias("a").join(grid.alias("b"), F.expr(f"a.nx = b.cx AND a.ny = b.cy AND {_near(eps)}"))
-    return pairs.groupBy("a.det_id").agg(F.count("*").alias("neighbours"))
+    """``det_id, neighbours``: points within ``eps`` of each point, itself included.
+
+    All points of a cell are near one another and are counted, not compared.
+    """
+    grid = settle(_gridded(points, eps), "grid")
+    cells = grid.groupBy("cx", "cy").agg(F.count("*").alias("own"))
+    other = _around(grid).where("nx <> cx OR ny <> cy").alias("a").join(grid.alias("b"), F.expr(f"a.nx = b.cx AND a.ny = b.cy AND {_near(eps)}"))
+    counted = other.groupBy("a.det_id").agg(F.count("*").alias("others"))
+    return grid.join(cells, ["cx", "cy"]).join(counted, "det_id", "left").select("det_id", (F.col("own") + F.coalesce("others", F.lit(0))).alias("neighbours"))
 
 
 def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -99,6 +105,6 @@ def cluster(points: DataFrame, eps: float = 0.006, min_samples: int = 4) -> Data
     held = core.join(pieces, ["cx", "cy"])
     border = _around(edge).alias("a").join(held.alias("b"), F.expr(f"a.nx = b.cx AND a.ny = b.cy AND {_near(eps)}")).groupBy("a.det_id").agg(F.min("b.component").alias("component"))
     members = inner.unionByName(border)
-    numbers = pieces.select("component").distinct().select("component", (F.row_number().over(Window.orderBy("component")) - 1).alias("label"))
+    numbers = numbered(pieces, "component", "label")
     labels = members.join(numbers, "component").select("det_id", "label")
     return points.select("det_id").join(labels, "det_id", "left").select("det_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +18,37 @@ def _vectors(points: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["lon", "lat"], outputCol="place", handleInvalid="skip").transform(points.where("lon IS NOT NULL AND lat IS NOT NULL"))
 
 
-def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 100) -> GaussianMixtureModel:
-    """A mixture of ``components`` (at least 2) over lon and lat by expectation maximisation."""
-    return GaussianMixture(k=max(2, components), seed=seed, maxIter=rounds, tol=1e-6, featuresCol="place").fit(_vectors(points))
+@dataclass(frozen=True)
+class Mixture:
+    """Weights, means (lon, lat) and covariances of the components."""
+
+    weights: tuple[float, ...]
+    centres: tuple[tuple[float, float], ...]
+    spreads: tuple[np.ndarray, ...]
+
+
+def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 100) -> Mixture:
+    """A mixture of ``components`` over lon and lat by expectation maximisation; a single one is the points' own mean and covariance."""
+    rows = _vectors(points)
+    if components > 1:
+        found = GaussianMixture(k=components, seed=seed, maxIter=rounds, tol=1e-6, featuresCol="place").fit(rows)
+        return Mixture(tuple(found.weights), tuple((float(g.mean[0]), float(g.mean[1])) for g in found.gaussians), tuple(g.cov.toArray() for g in found.gaussians))
+    lon, lat, xx, xy, yy = (x or 0.0 for x in rows.agg(F.avg("lon"), F.avg("lat"), F.var_pop("lon"), F.covar_pop("lon", "lat"), F.var_pop("lat")).first())
+    return Mixture((1.0,), ((lon, lat),), (np.array([[xx, xy], [xy, yy]]),))
 
 
-def _posteriors(model: GaussianMixtureModel, points: DataFrame) -> DataFrame:
+def _posteriors(model: Mixture, points: DataFrame) -> DataFrame:
     """``det_id, posterior`` of the points with a place: the share of each component, from log densities.
 
     Each covariance is inverted once, on the driver, its eigenvalues held above
     ``LEAST_VARIANCE``, so components of a single place or line have a density too.
     """
     rows = []
-    for weight, gauss in zip(model.weights, model.gaussians, strict=True):
-        values, vectors = np.linalg.eigh(gauss.cov.toArray())
+    for weight, centre, spread in zip(model.weights, model.centres, model.spreads, strict=True):
+        values, vectors = np.linalg.eigh(spread)
         values = np.maximum(values, LEAST_VARIANCE)
         inverse = (vectors / values) @ vectors.T
-        rows.append((*gauss.mean, inverse[0, 0], inverse[0, 1], inverse[1, 1], np.log(max(weight, np.finfo(float).tiny)) - 0.5 * np.log(values).sum()))
+        rows.append((*centre, inverse[0, 0], inverse[0, 1], inverse[1, 1], np.log(max(weight, np.finfo(float).tiny)) - 0.5 * np.log(values).sum()))
     lon, lat, xx, xy, yy, base = (F.lit(np.array(c, float)) for c in zip(*rows, strict=True))
 
     def log_density(i: Column) -> Column:
@@ -47,18 +63,18 @@ def _posteriors(model: GaussianMixtureModel, points: DataFrame) -> DataFrame:
     return found.select("det_id", F.transform("shares", lambda x: x / total).alias("posterior"))
 
 
-def assign(model: GaussianMixtureModel, points: DataFrame) -> DataFrame:
+def assign(model: Mixture, points: DataFrame) -> DataFrame:
     """``det_id, label``: the likeliest component of each point, of several the first."""
     likeliest = F.array_position("posterior", F.array_max("posterior")) - 1
     return _posteriors(model, points).select("det_id", likeliest.cast("long").alias("label"))
 
 
-def assign_soft(model: GaussianMixtureModel, points: DataFrame, least: float = 0.4) -> DataFrame:
+def assign_soft(model: Mixture, points: DataFrame, least: float = 0.4) -> DataFrame:
     """``det_id, label, probability``: every component whose posterior is above ``least``; a point may have none, one or two."""
     found = _posteriors(model, points).select("det_id", F.posexplode("posterior").alias("label", "probability"))
     return found.where(F.col("probability") > least).select("det_id", F.col("label").cast("long").alias("label"), "probability")
 
 
-def means(model: GaussianMixtureModel) -> list[tuple[int, float, float]]:
+def means(model: Mixture) -> list[tuple[int, float, float]]:
     """(component, longitude, latitude) of the components' means."""
-    return [(n, float(g.mean[0]), float(g.mean[1])) for n, g in enumerate(model.gaussians)]
+    return [(n, *centre) for n, centre in enumerate(model.centres)]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyrocline.config import Settings
+from pyrocline.functions import utm
 from pyrocline.functions.geodesic import distance_sql
 from pyrocline.functions.geometry import POINT, crosses, on_edge
 from pyrocline.operators import clusters, density, mixture, raster, scoring
 from pyrocline.plans.engine import Run
 from pyrocline.sources import detections, outline, sinks
+from pyrocline.storage import fresh_path
 
 FLAGSHIP = "cluster_predictions"
 RING = [(-103.9, 31.05), (-102.5, 31.1), (-101.9, 32.6), (-103.2, 33.0), (-103.9, 31.05)]
@@ -35,6 +39,57 @@ def detections_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.locate(text).select("det_id", "gmtco_point", "lon", "lat", "frp")
 
 
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections written as a CSV and scanned again."""
+    rows = detections.from_events(spark, sf_dir)
+    path = fresh_path(spark, "csv")
+    rows.select("det_id", F.format_string("POINT (%.5f %.5f)", "lon", "lat").alias("gmtco_point"), F.col("fid").alias("FID"), "frp", "uuid").write.csv(path, header=True)
+    return detections.detections(path, spark).select("det_id", "gmtco_point", F.col("FID").alias("fid"), "frp", "uuid", "lon", "lat")
+
+
+def site_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places from ``site_point`` where ``gmtco_point`` is null or no point."""
+    rows = detections.from_events(spark, sf_dir)
+    text = F.format_string("POINT (%.5f %.5f)", "lon", "lat")
+    known = F.when(F.col("det_id") % 7 > 1, text).when(F.col("det_id") % 7 == 1, "POINT EMPTY")
+    spare = F.when(F.col("det_id") % 3 > 0, F.format_string("POINT (%.5f %.5f)", F.col("lat"), F.col("lon")))
+    return detections.locate(rows.select("det_id", "frp", known.alias("gmtco_point"), spare.alias("site_point"))).select("det_id", "lon", "lat")
+
+
+def outline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary points of the outline, written as GeoJSON and read again."""
+    path = fresh_path(spark, "outline")
+    feature = {"type": "Feature", "properties": {}, "geometry": {"type": "MultiPolygon", "coordinates": [[RING], [[[x + 10, y] for x, y in RING]]]}}
+    sinks.write_bytes(spark, path, iter([json.dumps({"type": "FeatureCollection", "features": [feature]}).encode()]))
+    return outline.corners(spark, outline.read_outline(spark, path))
+
+
+def utm_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eastings and northings in zone 13, to the centimetre."""
+    found = utm.with_utm(detections.from_events(spark, sf_dir).select("det_id", "lon", "lat"), 13)
+    return found.select("det_id", F.round("easting", 2).alias("easting"), F.round("northing", 2).alias("northing"))
+
+
+def annotated_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detections with their cluster, written as a CSV and read again."""
+    run, path = _run(spark, sf_dir, [RING]), fresh_path(spark, "annotated")
+    sinks.write_annotated(clusters.annotate(run.rows, run.members()).select("det_id", "frp", "cluster_id"), path)
+    return spark.read.schema("det_id long, frp double, cluster_id long").csv(path, header=True)
+
+
+def centroid_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of kept clusters, written as a CSV and read again."""
+    path = fresh_path(spark, "centroids")
+    sinks.write_centroids(clusters.centroids(_members(spark, sf_dir)), path)
+    return spark.read.schema("latitude double, longitude double").csv(path, header=True)
+
+
+def valid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of clusters that reach a validity threshold of a tenth of the collects."""
+    run = Run(detections.from_events(spark, sf_dir), [], Settings(valid_share=0.1, apply_valid_share=True))
+    return run.members().select("det_id", "cluster_id")
+
+
 def distinct_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct collects and the validity threshold."""
     return _run(spark, sf_dir).collects()
@@ -177,7 +232,7 @@ def outline_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(outline.midpoints([RING]), "poly_id long, lon double, lat double")
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[mixture.GaussianMixtureModel, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[mixture.Mixture, DataFrame]:
     return _run(spark, sf_dir).mixture()
 
 
@@ -203,7 +258,7 @@ def classifier_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*zip(clusters.FEATURES, model.weights, strict=True), ("intercept", model.intercept)], "input string, weight double")
 
 
-_QUERIES = (detections_scan, distinct_collects, in_bounds, out_of_bounds, heatmap_kernel, heatmap_cells, eps_neighbor_counts, core_points, dbscan_labels, dbscan_noise,
+_QUERIES = (detections_scan, csv_scan, site_point, outline_file, utm_coordinates, annotated_csv, centroid_csv, valid_clusters, distinct_collects, in_bounds, out_of_bounds, heatmap_kernel, heatmap_cells, eps_neighbor_counts, core_points, dbscan_labels, dbscan_noise,
             cluster_membership, cluster_centroids, cluster_distances, cluster_spatial_stats, cluster_intensity_stats, cluster_bbox, cluster_polygon_ring, cluster_features,
             cluster_predictions, geojson_points, geojson_polygons, hierarchical_clusters, annotated_rows, order_property, outline_midpoint, gmm_hard, gmm_semisoft,
             gmm_centroids, classifier_train)
@@ -274,10 +329,32 @@ def oracle_sql() -> dict[str, str]:
     ring = " UNION ALL ".join(f"SELECT cluster_id, {n}::BIGINT AS corner, {x} AS lon, {y} AS lat FROM bx" for n, (x, y) in enumerate(
         [("min_lon", "min_lat"), ("min_lon", "max_lat"), ("max_lon", "max_lat"), ("max_lon", "min_lat"), ("min_lon", "min_lat")]))
     table = _features_sql()
+    scan = f"""{det}, w AS (SELECT det_id, fid, frp, uuid, printf('POINT (%.5f %.5f)', lon, lat) AS gmtco_point FROM det)
+SELECT {{}}, TRY_CAST(regexp_extract(gmtco_point, '{point}', 1) AS DOUBLE) AS lon, TRY_CAST(regexp_extract(gmtco_point, '{point}', 2) AS DOUBLE) AS lat FROM w"""
+    boundary = ", ".join(f"({n}, {k}, {x + 10 * n!r}e0, {y!r}e0)" for n in (0, 1) for k, (x, y) in enumerate(RING))
+    # Snyder (1987), equations 8-9 to 8-15, WGS-84.
+    e2, a = 0.0066943799901413165, 6378137.0
+    ep2 = e2 / (1 - e2)
+    arc = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072)
+    lit = lambda v: repr(v) if "e" in repr(v) else f"{v!r}e0"
+    snyder = f"""{det}, p AS (SELECT det_id, radians(lat) AS phi, radians(lon + 105) AS lam FROM det),
+q AS (SELECT *, tan(phi) ** 2 AS t, {lit(ep2)} * cos(phi) ** 2 AS c, lam * cos(phi) AS a, {lit(a)} / sqrt(1 - {lit(e2)} * sin(phi) ** 2) AS n,
+  {lit(a)} * ({lit(arc[0])} * phi - {lit(arc[1])} * sin(2 * phi) + {lit(arc[2])} * sin(4 * phi) - {lit(arc[3])} * sin(6 * phi)) AS m FROM p)
+SELECT det_id, round(500000e0 + 0.9996e0 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - {lit(58 * ep2)}) * a ** 5 / 120), 2) AS easting,
+  round(0.9996e0 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - {lit(330 * ep2)}) * a ** 6 / 720)), 2) AS northing FROM q"""
     xs, ys = [p[0] for p in RING], [p[1] for p in RING]
     return {
         "detections_scan": f"""{det}, w AS (SELECT det_id, frp, printf('POINT (%.5f %.5f)', lon, lat) AS gmtco_point FROM det)
 SELECT det_id, gmtco_point, TRY_CAST(regexp_extract(gmtco_point, '{point}', 1) AS DOUBLE) AS lon, TRY_CAST(regexp_extract(gmtco_point, '{point}', 2) AS DOUBLE) AS lat, frp FROM w""",
+        "csv_scan": scan.format("det_id, gmtco_point, fid, frp, uuid"),
+        "site_point": f"{det} SELECT det_id, CASE WHEN det_id % 7 > 1 THEN round(lon, 5) WHEN det_id % 3 > 0 THEN round(lat, 5) END AS lon, "
+                      "CASE WHEN det_id % 7 > 1 THEN round(lat, 5) WHEN det_id % 3 > 0 THEN round(lon, 5) END AS lat FROM det",
+        "outline_file": f"SELECT CAST(c0 AS INTEGER) AS poly_id, CAST(c1 AS INTEGER) AS corner, c2 AS lon, c3 AS lat FROM (VALUES {boundary}) v(c0, c1, c2, c3)",
+        "utm_coordinates": snyder,
+        "annotated_csv": _members_sql(where=_inside_sql()) + " SELECT d.det_id, d.frp, m.cluster_id FROM det d LEFT JOIN m ON m.det_id = d.det_id",
+        "centroid_csv": table + " SELECT centroid_lat AS latitude, centroid_lon AS longitude FROM c",
+        "valid_clusters": _members_sql() + """ SELECT det_id, cluster_id FROM m WHERE cluster_id IN
+(SELECT cluster_id FROM m GROUP BY cluster_id HAVING count(*) >= (SELECT floor(count(DISTINCT fid) * 0.1e0) FROM det))""",
         "distinct_collects": f"""{det} SELECT n AS num_collects, CAST(floor(n * 0.01e0) AS BIGINT) AS num_valid FROM
 (SELECT count(DISTINCT fid) + coalesce(max(CASE WHEN fid IS NULL THEN 1 ELSE 0 END), 0) AS n FROM det)""",
         "in_bounds": f"{det} SELECT det_id, lon, lat FROM det WHERE {_inside_sql()}",

@@ -169,8 +169,8 @@ def test_mixture_posteriors(spark):
     frame = points(spark, [tuple(map(float, p)) for p in places])
     model = mixture.fit(frame, 2)
     density = np.empty((120, 2))
-    for k, (weight, gauss) in enumerate(zip(model.weights, model.gaussians, strict=True)):
-        away, cov = places - gauss.mean.toArray(), gauss.cov.toArray()
+    for k, (weight, centre, spread) in enumerate(zip(model.weights, model.centres, model.spreads, strict=True)):
+        away, cov = places - np.array(centre), spread
         density[:, k] = weight * np.exp(-0.5 * np.einsum("ni,ij,nj->n", away, np.linalg.inv(cov), away)) / np.sqrt(np.linalg.det(cov))
     share = density / density.sum(axis=1, keepdims=True)
     ids = [r.det_id for r in frame.orderBy("det_id").collect()]
@@ -259,3 +259,69 @@ def test_registered_mixture_has_a_component_for_each_piece(spark):
     run = catalog._run(spark, folder)
     pieces = density.cluster(run.inside(), run.settings.pixel, 1).select("label").distinct().count()
     assert pieces > 12 and catalog.queries()["gmm_centroids"](spark, folder).count() == pieces
+
+
+def test_one_component_is_the_points_own_spread(spark):
+    from pyrocline.operators import mixture
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.0, 0.0), (3, 1.0, 3.0), (4, None, 1.0)], "det_id long, lon double, lat double")
+    model = mixture.fit(points, 1)
+    assert mixture.means(model) == [(0, 1.0, 1.0)] and model.spreads[0].round(9).tolist() == [[round(2 / 3, 9), 0.0], [0.0, 2.0]]
+    assert sorted((r.det_id, r.label) for r in mixture.assign(model, points).collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_numbers_follow_the_key(spark):
+    from pyrocline.operators.numbering import numbered
+
+    rows = spark.createDataFrame([((k * 7919) % 1000,) for k in range(1500)] + [(None,)], "key long")
+    assert sorted((r.key, r.n) for r in numbered(rows, "key", "n").collect()) == [(k, k) for k in range(1000)]
+    assert numbered(rows.where("false"), "key", "n").count() == 0
+
+
+def test_bounds_keep_columns_of_any_name(spark):
+    from pyrocline.operators.bounds import with_in_bounds
+
+    frame = spark.createDataFrame([(1, 0.5, 0.5, 7, 8), (2, 9.0, 9.0, 7, 8)], "det_id long, lon double, lat double, gx int, rings int")
+    found = with_in_bounds(frame, [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)]])
+    assert found.columns == [*frame.columns, "in_bounds"] and [(r.det_id, r.gx, r.rings, r.in_bounds) for r in found.orderBy("det_id").collect()] == [(1, 7, 8, True), (2, 7, 8, False)]
+
+
+def test_storage_needs_a_shared_folder_on_clusters(spark):
+    import pytest
+
+    from pyrocline import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session())
+    table = storage.settle(spark.range(3), "gone")
+    assert table.count() == 3
+    storage.forget(table)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist|FAILED_READ"):
+        spark.read.schema("id long").parquet(table.inputFiles()[0]).count()
+
+
+def test_entry_without_a_library(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith("pyrocline.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    real = builtins.__import__
+
+    def absent(name, *args, **more):
+        if name == "zstandard" or name.startswith("pyrocline.llm"):
+            raise ModuleNotFoundError(name)
+        return real(name, *args, **more)
+
+    monkeypatch.setattr(builtins, "__import__", absent)
+    assert "dbscan_labels" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
+    assert "dbscan_labels" in entry.oracle_sql()
