@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame
     return salted.join(lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [key, "salt"]).drop("salt")
 
 
+def give_back() -> None:
+    """Return to the system what Arrow keeps for later: a Python worker outlives its task, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+
+
 def packed(docs: DataFrame, *columns: str) -> DataFrame:
     """``row`` (all columns of ``docs``) beside the named ones, doc_id and text unless given, so that no column's name can clash with an operator's own."""
     return docs.select(F.struct("*").alias("row"), *(columns or ("doc_id", "text")))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyrocline.llm.common import packed, small_enough, text_bytes
+from pyrocline.llm.common import give_back, packed, small_enough, text_bytes
 from pyrocline.llm.simhash import chain_condition
 from pyrocline.operators.components import connected_components
 from pyrocline.storage import settle
@@ -56,6 +56,8 @@ CELLS = 32
 SEED = 42
 #: Shingles min-hashed at once; bounds the memory that a very long text takes.
 _BLOCK = 1 << 10
+#: Texts whose shingles are held at once.
+_ROWS_AT_ONCE = 500
 _DRAW = np.random.default_rng(SEED)
 _FLIP = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -98,11 +100,19 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut to ``_ROWS_AT_ONCE`` rows, so that shingles of few texts are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(at, _ROWS_AT_ONCE)
+    give_back()
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
     """``row_id, text_hash, set_id, keys`` of ``rows`` (row_id, text_hash, body); without words set 0 and no keys."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, keys = [], []
             for body in batch.column("body"):
                 found = shingles_of(body.as_buffer().to_pybytes())
@@ -122,7 +132,7 @@ def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """``set_id, shingles, n`` and the fingerprint's words of the sets in ``needed`` (set_id, text_hash), read from ``rows`` again."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles_of(body.as_buffer().to_pybytes()) for body in batch.column("body")]
             prints = np.array([fingerprint(x) for x in found], np.int64).reshape(len(found), WORDS)
             columns = [batch.column("set_id"), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int32())]

@@ -28,7 +28,7 @@ most ``BROADCAST_WEIGHTS``, else texts' words are joined with them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyrocline.llm.calibration import Isotonic, fit_isotonic
-from pyrocline.llm.common import crc_of_id, packed, small_enough, text_bytes, with_label
+from pyrocline.llm.common import crc_of_id, give_back, packed, small_enough, text_bytes, with_label
 from pyrocline.storage import settle
 
 #: Labels are learned where crc32(doc_id) mod HOLD_OF is not HOLD_AT.
@@ -60,9 +60,13 @@ BROADCAST_WEIGHTS = 4_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _START = 0
 #: Words that a task remembers while scoring.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Bytes of text that a task splits into words at a time while scoring; a longer text goes alone.
+SPLIT_BYTES = 1 << 20
 #: Distinct bigrams that a task holds before it hands over its counts.
 _FLUSH = 2_000_000
+#: Bigrams that are sorted at once, and distinct ones that are handed over at once.
+_SORTED, _SENT = 1 << 19, 1 << 18
 
 
 def words_of(text: bytes) -> list[str]:
@@ -88,16 +92,21 @@ class _Ids(dict):
         return number
 
 
-def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _summed(ids: _Ids, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     hashes = np.array(ids.hashes, np.int64)
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     parts.clear()
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     keys, n = keys[first], np.add.reduceat(n, first)
-    word, prev = hashes[keys >> 32], hashes[keys >> 1 & (1 << 31) - 1]
-    return pa.record_batch([pa.array(x) for x in (word << 16 | prev >> 32, prev.astype(np.int32), n << 1 | keys & 1)], names=["high", "low", "packed"])
+    del first
+    for at in range(0, len(keys), _SENT):
+        some = keys[at:at + _SENT]
+        word, prev = hashes[some >> 32], hashes[some >> 1 & (1 << 31) - 1]
+        columns = (word << 16 | prev >> 32, prev.astype(np.int32), n[at:at + _SENT] << 1 | some & 1)
+        yield pa.record_batch([pa.array(x) for x in columns], names=["high", "low", "packed"])
 
 
 def count_bigrams(rows: DataFrame) -> DataFrame:
@@ -113,20 +122,26 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
-            keys = []
+            keys, size = [], 0
             for body, label in zip(batch.column("body"), batch.column("label").to_pylist(), strict=True):
                 words = words_of(body.as_buffer().to_pybytes())
                 if words:
                     own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                     keys.append((own << 31 | np.concatenate(([0], own[:-1]))) << 1 | label)
+                    size += len(words)
+                if size > _SORTED:
+                    parts.append(np.unique(np.concatenate(keys), return_counts=True))
+                    held += len(parts[-1][0])
+                    keys, size = [], 0
             if keys:
                 parts.append(np.unique(np.concatenate(keys), return_counts=True))
                 held += len(parts[-1][0])
             if held > _FLUSH:
-                yield _summed(ids, parts)
+                yield from _summed(ids, parts)
                 ids, parts, held = _Ids(), [], 0
         if parts:
-            yield _summed(ids, parts)
+            yield from _summed(ids, parts)
+        give_back()
 
     counted = rows.select("body", "label").mapInArrow(each, "high long, low int, packed long")
     # Dealt out before it is summed: the packed rows are smaller than the two sums.
@@ -198,8 +213,20 @@ class _Scorer:
         found = self.keys[at] == codes
         return np.where(found, self.target[at], self.unknown), np.where(found, self.context[at], 0.0)
 
-    def ratios(self, texts: list[bytes]) -> list[float]:
-        """Mean log ratio of the words of each text, 0 without words."""
+    def ratios(self, texts: Iterable[bytes]) -> list[float]:
+        """Mean log ratio of the words of each text, 0 without words; words are held for ``SPLIT_BYTES`` of text at a time."""
+        found: list[float] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > SPLIT_BYTES:
+                found += self._ratios(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        return found + self._ratios(held)
+
+    def _ratios(self, texts: list[bytes]) -> list[float]:
         listed = [words_of(x) for x in texts]
         if len(self.both) > REMEMBERED:
             self.both = {}
@@ -226,7 +253,8 @@ def with_ratio(docs: DataFrame, model: Model, limit: int = BROADCAST_WEIGHTS) ->
         def ratios(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             scorer = _Scorer(*sent.value)
             for batch in batches:
-                yield pd.Series(scorer.ratios(batch.tolist()), dtype=float)
+                yield pd.Series(scorer.ratios(batch), dtype=float)
+            give_back()
 
         return docs.withColumn("ratio", ratios(text_bytes()))
 
