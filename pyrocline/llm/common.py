@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,11 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame
 
 
 def give_back() -> None:
-    """Return to the system what Arrow keeps for later: a Python worker outlives its task, beside the executor's JVM."""
+    """Return to the system what Arrow and the C library keep for later: a Python worker outlives its task, beside the executor's JVM."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def packed(docs: DataFrame, *columns: str) -> DataFrame:

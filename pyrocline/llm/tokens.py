@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pyrocline.llm.common import text_bytes
+from pyrocline.llm.common import give_back, text_bytes
 from pyrocline.storage import fresh_path, settle
 
 MAGIC = b"PYRTOK01"
@@ -62,7 +62,7 @@ REMEMBERED = 300_000
 #: New pieces that are encoded in one string.
 _TOGETHER = 256
 #: Text that is encoded at once; bounds the arrays that a task holds.
-_TOGETHER_BYTES = 8 << 20
+_TOGETHER_BYTES = 2 << 20
 _MARKS = ".,;:!?"
 _READ = 8 << 20
 
@@ -256,6 +256,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             stream.write(index + struct.pack(FOOTER, len(ids), sum(counts), at, own.width, zlib.crc32(index), mark, MAGIC))
             stream.close()
             yield pa.record_batch([pa.array([x]) for x in (context.partitionId(), name, len(ids), sum(counts))], names=["part", "file", "docs", "ids"])
+        give_back()
 
     # As many files as the text's bytes ask for, and as many tasks as the session has partitions for.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
