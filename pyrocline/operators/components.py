@@ -25,7 +25,7 @@ def _star(edges: DataFrame, ends: Column, outward: Column) -> DataFrame:
     around = edges.select(F.explode(ends).alias("e")).select("e.node", "e.other")
     least = around.groupBy("node").agg(F.min("other").alias("least"))
     least = least.select("node", F.least("node", "least").alias("least"))
-    return around.join(least, "node").select(
+    return around.join(least.hint("merge"), "node").select(
         F.explode(outward).alias("e")
     ).select(F.col("e.hi").alias("hi"), F.col("e.lo").alias("lo")).where("hi <> lo").distinct()
 

@@ -325,3 +325,12 @@ def test_entry_without_a_library(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", absent)
     assert "dbscan_labels" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
     assert "dbscan_labels" in entry.oracle_sql()
+
+
+def test_neighbours_are_counted_without_broadcasts(spark):
+    draw = np.random.default_rng(5)
+    places = [tuple(map(float, p)) for p in draw.integers(0, 60, (400, 2)) * 0.001]
+    found = density.neighbour_counts(points(spark, places), 0.006)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    near = {i: sum(math.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1])) <= 0.006 for q in places) for i, p in enumerate(places)}
+    assert {r.det_id: r.neighbours for r in found.collect()} == near
