@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Square degrees; below it a component's spread counts as this.
-LEAST_VARIANCE = 1e-18
+from pyrocline.operators import ellipses
+from pyrocline.storage import forget, settle
+
+#: Up to this many points one task makes all rounds, which takes less than a job for each round.
+FEW_POINTS = 100_000
+#: About so many points are a task's in each round.
+TASK_POINTS = 100_000
+_FOUND = "component long, share double, x double, y double, xx double, xy double, yy double"
+_PLACED = "abs(lon) < double('infinity') AND abs(lat) < double('infinity')"
 
 
 def _vectors(points: DataFrame) -> DataFrame:
@@ -22,9 +31,13 @@ def _vectors(points: DataFrame) -> DataFrame:
 class Mixture:
     """Weights, means (lon, lat) and covariances of the components."""
 
-    weights: tuple[float, ...]
-    centres: tuple[tuple[float, float], ...]
-    spreads: tuple[np.ndarray, ...]
+    weights: tuple[float, ...] | np.ndarray
+    centres: tuple[tuple[float, float], ...] | np.ndarray
+    spreads: tuple[np.ndarray, ...] | np.ndarray
+
+    def forms(self) -> ellipses.Forms:
+        """The components' forms."""
+        return ellipses.forms(*(np.array(x, float) for x in (self.weights, self.centres, self.spreads)))
 
 
 def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 100) -> Mixture:
@@ -37,16 +50,110 @@ def fit(points: DataFrame, components: int, seed: int = 42, rounds: int = 100) -
     return Mixture((1.0,), ((lon, lat),), (np.array([[xx, xy], [xy, yy]]),))
 
 
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("lon", "lat"))
+
+
+def _rows(found: np.ndarray, *more: tuple[int, float]) -> pa.RecordBatch:
+    """Components that have a share, and further rows of a number and a value."""
+    kept = np.flatnonzero(found[:, 0])
+    table = np.concatenate([found[kept], [[x, 0, 0, 0, 0, 0] for _, x in more]]) if more else found[kept]
+    columns = [pa.array(np.concatenate([kept, [n for n, _ in more]]).astype(np.int64)), *map(pa.array, table.T.copy())]
+    return pa.record_batch(columns, ["component", "share", "x", "y", "xx", "xy", "yy"])
+
+
+def _table(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The first column and the others of a small table."""
+    rows = found.toArrow()
+    return rows.column(0).to_numpy(), np.stack([rows.column(n).to_numpy() for n in rows.column_names[1:]], axis=1).astype(float)
+
+
+def _at_once(points: DataFrame, start: ellipses.Parameters, rounds: int, tol: float) -> ellipses.Parameters:
+    """All rounds in one task."""
+    held = points.sparkSession.sparkContext.broadcast(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_arrays(batch) for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        lon, lat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((lat, lon))
+        lon, lat, count = lon[order], lat[order], len(held.value[0])
+
+        def expect(of: ellipses.Forms) -> tuple[np.ndarray, float]:
+            found = np.zeros((count, 6))
+            return found, ellipses.sums(lon, lat, of, found)
+
+        weights, centres, spreads = ellipses.maximise(held.value, expect, rounds, tol)
+        yield _rows(np.column_stack([np.maximum(weights, np.finfo(float).tiny), centres, spreads[:, 0], spreads[:, 1, 1]]))
+
+    order, found = _table(points.select("lon", "lat").coalesce(1).mapInArrow(run, _FOUND))
+    held.destroy()
+    found = found[np.argsort(order)]
+    return found[:, 0], found[:, 1:3], found[:, [3, 4, 4, 5]].reshape(-1, 2, 2)
+
+
+def _by_rounds(points: DataFrame, start: ellipses.Parameters, count: int, rounds: int, tol: float) -> ellipses.Parameters:
+    """A job for each round; points are stored in order of their place, so that a batch meets few components."""
+    context = points.sparkSession.sparkContext
+    west, south, east, north = points.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    side = max((north - south) * (east - west) * ellipses.BLOCK / count, 0.0) ** 0.5 or 1.0
+    strips = points.select(F.floor((F.col("lat") - F.lit(south)) / F.lit(side)).alias("strip"), "lon", "lat")
+    tasks = max(3 * context.defaultParallelism, -(-count // TASK_POINTS))
+    stored = settle(strips.repartitionByRange(tasks, "strip", "lon").sortWithinPartitions("strip", "lon", "lat").select("lon", "lat"), "places")
+
+    def expect(of: ellipses.Forms) -> tuple[np.ndarray, float]:
+        held = context.broadcast(of)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, level = np.zeros((len(held.value.base), 6)), 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    level += ellipses.sums(*_arrays(batch), held.value, found)
+            yield _rows(found, (-1, level))
+
+        which, parts = _table(stored.mapInArrow(run, _FOUND))
+        held.destroy()
+        own = which >= 0
+        found = np.zeros((len(of.base), 6))
+        np.add.at(found, which[own], parts[own])
+        return found, float(parts[~own, 0].sum())
+
+    found = ellipses.maximise(start, expect, rounds, tol)
+    forget(stored)
+    return found
+
+
+def fit_pieces(points: DataFrame, labels: DataFrame, rounds: int = 100, tol: float = 1e-6, few_points: int = FEW_POINTS) -> Mixture:
+    """A mixture with a component for each label (``det_id, label``) from 0 up, by expectation maximisation from the labelled points' shares, means and covariances.
+
+    Points without a place or a label aren't part of the start; those without a
+    place aren't fitted. Components are in the order of the labels. Rounds end
+    when the log-likelihood changes by at most ``tol``. Every point counts in
+    every round, with all components but those whose shares vanish in rounding.
+    """
+    placed = points.select("det_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).where(_PLACED)
+    pieces = placed.join(labels.where("label >= 0").select("det_id", "label").hint("merge"), "det_id").groupBy("label").agg(
+        F.count("*"), F.avg("lon"), F.avg("lat"), F.var_pop("lon"), F.covar_pop("lon", "lat"), F.var_pop("lat"))
+    order, found = _table(pieces)
+    if len(order) < 2:
+        return fit(points, 1)
+    found = found[np.argsort(order)]
+    start = (found[:, 0] / found[:, 0].sum(), found[:, 1:3], ellipses.steadied(found[:, [3, 4, 4, 5]].reshape(-1, 2, 2)))
+    count = placed.count()
+    return Mixture(*(_at_once(placed, start, rounds, tol) if count <= few_points else _by_rounds(placed, start, count, rounds, tol)))
+
+
 def _posteriors(model: Mixture, points: DataFrame) -> DataFrame:
     """``det_id, posterior`` of the points with a place: the share of each component, from log densities.
 
     Each covariance is inverted once, on the driver, its eigenvalues held above
-    ``LEAST_VARIANCE``, so components of a single place or line have a density too.
+    ``ellipses.LEAST_VARIANCE``, so components of a single place or line have a density too.
     """
     rows = []
     for weight, centre, spread in zip(model.weights, model.centres, model.spreads, strict=True):
         values, vectors = np.linalg.eigh(spread)
-        values = np.maximum(values, LEAST_VARIANCE)
+        values = np.maximum(values, ellipses.LEAST_VARIANCE)
         inverse = (vectors / values) @ vectors.T
         rows.append((*centre, inverse[0, 0], inverse[0, 1], inverse[1, 1], np.log(max(weight, np.finfo(float).tiny)) - 0.5 * np.log(values).sum()))
     lon, lat, xx, xy, yy, base = (F.lit(np.array(c, float)) for c in zip(*rows, strict=True))
@@ -77,4 +184,4 @@ def assign_soft(model: Mixture, points: DataFrame, least: float = 0.4) -> DataFr
 
 def means(model: Mixture) -> list[tuple[int, float, float]]:
     """(component, longitude, latitude) of the components' means."""
-    return [(n, *centre) for n, centre in enumerate(model.centres)]
+    return [(n, float(lon), float(lat)) for n, (lon, lat) in enumerate(model.centres)]

@@ -74,15 +74,14 @@ class Run:
         """Members of single-linkage clusters at distance ``pixel`` with more than three points."""
         return self.members_of(density.cluster(self.inside(), self.settings.pixel, 1), 4)
 
-    def mixture(self, seed: int = 42) -> tuple[mixture.Mixture, DataFrame]:
-        """A mixture with as many components as there are single-linkage clusters, and the rows in bounds it was fitted to."""
+    def mixture(self) -> tuple[mixture.Mixture, DataFrame]:
+        """A mixture with a component for each single-linkage cluster, started from it, and the rows in bounds it was fitted to."""
         inside = settle(self.inside(), "inside")
-        pieces = density.cluster(inside, self.settings.pixel, 1)
-        return mixture.fit(inside, pieces.select("label").distinct().count(), seed), inside
+        return mixture.fit_pieces(inside, density.cluster(inside, self.settings.pixel, 1)), inside
 
-    def mixture_members(self, seed: int = 42) -> tuple[DataFrame, mixture.Mixture]:
+    def mixture_members(self) -> tuple[DataFrame, mixture.Mixture]:
         """Members by the likeliest component of the mixture."""
-        model, inside = self.mixture(seed)
+        model, inside = self.mixture()
         return self.members_of(mixture.assign(model, inside)), model
 
     def classified(self, members: DataFrame, model: scoring.Linear | None, base: str = "detections") -> DataFrame:

@@ -334,3 +334,55 @@ def test_neighbours_are_counted_without_broadcasts(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     near = {i: sum(math.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1])) <= 0.006 for q in places) for i, p in enumerate(places)}
     assert {r.det_id: r.neighbours for r in found.collect()} == near
+
+
+def dense_rounds(places, labels, rounds):
+    """Textbook expectation maximisation over all pairs, from labelled points."""
+    count = labels.max() + 1
+    weights = np.bincount(labels) / len(labels)
+    means = np.array([places[labels == k].mean(axis=0) for k in range(count)])
+    spreads = np.array([np.cov(places[labels == k].T, bias=True) for k in range(count)]) + 1e-6 * np.eye(2)
+    for _ in range(rounds):
+        away = places[:, None] - means
+        logs = np.log(weights) - 0.5 * np.linalg.slogdet(spreads)[1] - 0.5 * np.einsum("nki,kij,nkj->nk", away, np.linalg.inv(spreads), away)
+        share = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        own = share.sum(axis=0)
+        weights, means = own / own.sum(), share.T @ places / own[:, None]
+        away = places[:, None] - means
+        spreads = np.einsum("nk,nki,nkj->kij", share, away, away) / own[:, None, None] + 1e-6 * np.eye(2)
+    return weights, means, spreads
+
+
+def pieces_and_outliers():
+    draw = np.random.default_rng(6)
+    places = np.concatenate([*(draw.normal(m, s, (50, 2)) for m, s in ((0, 0.02), (0.05, 0.03), (0.5, 0.01), (3, 1.0))), [[40.0, -30.0], [7.0, 7.0], [0.5, 0.5]]])
+    return places, np.array([k for k in range(4) for _ in range(50)] + [4, 1, 5])
+
+
+def test_mixture_of_pieces_equals_rounds_over_all_pairs(spark):
+    places, labels = pieces_and_outliers()
+    frame = points(spark, places).unionByName(spark.createDataFrame([(900, None, 1.0), (901, float("nan"), 1.0)], "det_id long, lon double, lat double"))
+    pieces = spark.createDataFrame([*enumerate(labels.tolist()), (900, -1)], "det_id long, label long")
+    weights, means, spreads = dense_rounds(places, labels, 12)
+    for few in (1000, 0):
+        model = mixture.fit_pieces(frame, pieces, rounds=12, tol=0.0, few_points=few)
+        assert np.abs(np.array(model.weights) - weights).max() < 1e-9 and np.abs(np.array(model.spreads) - spreads).max() < 1e-9
+        assert np.abs(np.array(mixture.means(model)) - np.column_stack([np.arange(6), means])).max() < 1e-9
+
+
+def test_pairs_done_in_parts_change_no_sum(monkeypatch):
+    from pyrocline.operators import ellipses
+
+    places, labels = pieces_and_outliers()
+    of, found = ellipses.forms(*dense_rounds(places, labels, 2)), []
+    for most in (400_000, 30):
+        monkeypatch.setattr(ellipses, "MOST_PAIRS", most)
+        into = np.zeros((6, 6))
+        found.append((ellipses.sums(places[:, 0].copy(), places[:, 1].copy(), of, into), into))
+    assert abs(found[0][0] - found[1][0]) < 1e-8 and np.abs(found[0][1] - found[1][1]).max() < 1e-9 and abs(found[0][1][:, 0].sum() - len(places)) < 1e-9
+
+
+def test_mixture_query_ends_on_thousands_of_pieces(spark):
+    folder = "/root/testdata/sf0.01"
+    assert catalog.queries()["gmm_centroids"](spark, folder).count() > 2000
