@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pyrocline.operators import ellipses
 from pyrocline.storage import forget, settle
@@ -144,6 +145,36 @@ def fit_pieces(points: DataFrame, labels: DataFrame, rounds: int = 100, tol: flo
     return Mixture(*(_at_once(placed, start, rounds, tol) if count <= few_points else _by_rounds(placed, start, count, rounds, tol)))
 
 
+def _best(part: ellipses.Part) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``part.rows`` and their likeliest components, of several the first."""
+    top = np.zeros(len(part.rows))
+    np.maximum.at(top, part.at, part.share)
+    likeliest = part.share == top[part.at]
+    first = np.full(len(part.rows), np.iinfo(np.int64).max)
+    np.minimum.at(first, part.at[likeliest], part.own[likeliest])
+    return np.arange(len(part.rows)), first
+
+
+def _by_batch(model: Mixture, points: DataFrame, more: list[T.StructField], columns: Callable[[ellipses.Part], tuple[np.ndarray, ...]], cut: float) -> DataFrame:
+    """``det_id`` and what ``columns`` makes of a part's shares: places in its rows, then the columns ``more``."""
+    placed = points.select("det_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).where(_PLACED)
+    held = points.sparkSession.sparkContext.broadcast(model.forms())
+    names = ["det_id", *(f.name for f in more)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ellipses.shares(*_arrays(batch), held.value, cut) if batch.num_rows else ():
+                at, *values = columns(part)
+                yield pa.record_batch([batch.column("det_id").take(pa.array(part.rows[at])), *map(pa.array, values)], names)
+
+    return placed.mapInArrow(run, T.StructType([placed.schema["det_id"], *more]))
+
+
+def assign(model: Mixture, points: DataFrame) -> DataFrame:
+    """``det_id, label``: the likeliest component of each point with a place, of several the first."""
+    return _by_batch(model, points, [T.StructField("label", T.LongType())], _best, ellipses.CUT)
+
+
 def _posteriors(model: Mixture, points: DataFrame) -> DataFrame:
     """``det_id, posterior`` of the points with a place: the share of each component, from log densities.
 
@@ -170,12 +201,6 @@ def _posteriors(model: Mixture, points: DataFrame) -> DataFrame:
     return found.select("det_id", F.transform("shares", lambda x: x / total).alias("posterior"))
 
 
-def assign(model: Mixture, points: DataFrame) -> DataFrame:
-    """``det_id, label``: the likeliest component of each point, of several the first."""
-    likeliest = F.array_position("posterior", F.array_max("posterior")) - 1
-    return _posteriors(model, points).select("det_id", likeliest.cast("long").alias("label"))
-
-
 def assign_soft(model: Mixture, points: DataFrame, least: float = 0.4) -> DataFrame:
     """``det_id, label, probability``: every component whose posterior is above ``least``; a point may have none, one or two."""
     found = _posteriors(model, points).select("det_id", F.posexplode("posterior").alias("label", "probability"))

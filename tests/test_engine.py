@@ -386,3 +386,16 @@ def test_pairs_done_in_parts_change_no_sum(monkeypatch):
 def test_mixture_query_ends_on_thousands_of_pieces(spark):
     folder = "/root/testdata/sf0.01"
     assert catalog.queries()["gmm_centroids"](spark, folder).count() > 2000
+
+
+def test_hard_assignment_to_thousands_of_components(spark):
+    draw = np.random.default_rng(8)
+    centres, places = draw.uniform(0, 3, (3000, 2)), draw.uniform(-1, 4, (2000, 2))
+    model = mixture.Mixture(np.full(3000, 1 / 3000), centres, np.broadcast_to(1e-4 * np.eye(2), (3000, 2, 2)))
+    found = mixture.assign(model, points(spark, places))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000 and "MapInArrow" in plan
+    nearest = ((places[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    assert {r.det_id: r.label for r in found.collect()} == dict(enumerate(nearest.tolist()))
+    twins = mixture.Mixture((0.5, 0.5), ((1.0, 1.0), (1.0, 1.0)), (np.eye(2), np.eye(2)))
+    assert [r.label for r in mixture.assign(twins, points(spark, [(1, 1), (900, 4)])).collect()] == [0, 0]
