@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,36 +175,15 @@ def assign(model: Mixture, points: DataFrame) -> DataFrame:
     return _by_batch(model, points, [T.StructField("label", T.LongType())], _best, ellipses.CUT)
 
 
-def _posteriors(model: Mixture, points: DataFrame) -> DataFrame:
-    """``det_id, posterior`` of the points with a place: the share of each component, from log densities.
-
-    Each covariance is inverted once, on the driver, its eigenvalues held above
-    ``ellipses.LEAST_VARIANCE``, so components of a single place or line have a density too.
-    """
-    rows = []
-    for weight, centre, spread in zip(model.weights, model.centres, model.spreads, strict=True):
-        values, vectors = np.linalg.eigh(spread)
-        values = np.maximum(values, ellipses.LEAST_VARIANCE)
-        inverse = (vectors / values) @ vectors.T
-        rows.append((*centre, inverse[0, 0], inverse[0, 1], inverse[1, 1], np.log(max(weight, np.finfo(float).tiny)) - 0.5 * np.log(values).sum()))
-    lon, lat, xx, xy, yy, base = (F.lit(np.array(c, float)) for c in zip(*rows, strict=True))
-
-    def log_density(i: Column) -> Column:
-        dx, dy = F.col("lon") - F.get(lon, i), F.col("lat") - F.get(lat, i)
-        return F.get(base, i) - 0.5 * (F.get(xx, i) * dx * dx + 2 * F.get(xy, i) * dx * dy + F.get(yy, i) * dy * dy)
-
-    logs = F.transform(F.sequence(F.lit(0), F.lit(len(rows) - 1)), log_density)
-    placed = points.select("det_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    found = placed.where("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)").select("det_id", logs.alias("logs"))
-    found = found.select("det_id", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("shares"))
-    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
-    return found.select("det_id", F.transform("shares", lambda x: x / total).alias("posterior"))
-
-
 def assign_soft(model: Mixture, points: DataFrame, least: float = 0.4) -> DataFrame:
     """``det_id, label, probability``: every component whose posterior is above ``least``; a point may have none, one or two."""
-    found = _posteriors(model, points).select("det_id", F.posexplode("posterior").alias("label", "probability"))
-    return found.where(F.col("probability") > least).select("det_id", F.col("label").cast("long").alias("label"), "probability")
+
+    def above(part: ellipses.Part) -> tuple[np.ndarray, ...]:
+        kept = part.share > least
+        return part.at[kept], part.own[kept], part.share[kept]
+
+    more = [T.StructField("label", T.LongType()), T.StructField("probability", T.DoubleType())]
+    return _by_batch(model, points, more, above, ellipses.CUT if least > np.exp(-ellipses.CUT) else np.inf)
 
 
 def means(model: Mixture) -> list[tuple[int, float, float]]:

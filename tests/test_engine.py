@@ -399,3 +399,19 @@ def test_hard_assignment_to_thousands_of_components(spark):
     assert {r.det_id: r.label for r in found.collect()} == dict(enumerate(nearest.tolist()))
     twins = mixture.Mixture((0.5, 0.5), ((1.0, 1.0), (1.0, 1.0)), (np.eye(2), np.eye(2)))
     assert [r.label for r in mixture.assign(twins, points(spark, [(1, 1), (900, 4)])).collect()] == [0, 0]
+
+
+def test_soft_assignment_to_thousands_of_components(spark):
+    draw = np.random.default_rng(9)
+    centres, places = draw.uniform(0, 3, (3000, 2)), draw.uniform(-1, 4, (2000, 2))
+    model = mixture.Mixture(np.full(3000, 1 / 3000), centres, np.broadcast_to(1e-4 * np.eye(2), (3000, 2, 2)))
+    found = mixture.assign_soft(model, points(spark, places))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000 and "MapInArrow" in plan
+    logs = -0.5e4 * ((places[:, None] - centres) ** 2).sum(axis=2)
+    share = np.exp(logs - logs.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    own = {(r.det_id, r.label): r.probability for r in found.collect()}
+    assert set(own) == set(zip(*(x.tolist() for x in np.nonzero(share > 0.4)), strict=True)) and all(abs(p - share[k]) < 1e-9 for k, p in own.items())
+    few = mixture.Mixture((0.5, 0.5), ((0.0, 0.0), (12.0, 0.0)), (np.eye(2), np.eye(2)))
+    assert sorted(r.label for r in mixture.assign_soft(few, points(spark, [(0, 0)]), 0.0).collect()) == [0, 1]
