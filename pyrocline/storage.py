@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds after which a stored table is an occasion to collect the driver's garbage.
+FREE_SECONDS = 10.0
+_freed = [0.0]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
@@ -38,6 +44,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pyrocline/{label}-{uuid.uuid4().hex}"
 
 
+def _free(spark: SparkSession) -> None:
+    """Collect the driver's garbage now and then: only then does Spark drop broadcast tables and shuffle files that nothing uses, and the heap shrink."""
+    now = time.monotonic()
+    if now - _freed[0] >= FREE_SECONDS:
+        _freed[0] = now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
@@ -46,6 +61,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    _free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -415,3 +415,16 @@ def test_soft_assignment_to_thousands_of_components(spark):
     assert set(own) == set(zip(*(x.tolist() for x in np.nonzero(share > 0.4)), strict=True)) and all(abs(p - share[k]) < 1e-9 for k, p in own.items())
     few = mixture.Mixture((0.5, 0.5), ((0.0, 0.0), (12.0, 0.0)), (np.eye(2), np.eye(2)))
     assert sorted(r.label for r in mixture.assign_soft(few, points(spark, [(0, 0)]), 0.0).collect()) == [0, 1]
+
+
+def test_stored_tables_free_the_driver(spark, monkeypatch):
+    from pyrocline import storage
+
+    monkeypatch.setattr(storage, "FREE_SECONDS", 0.0)
+
+    def whole_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(bean.getCollectionCount() for bean in beans if "Young" not in bean.getName())
+
+    before = whole_collections()
+    assert storage.settle(spark.range(3), "three").count() == 3 and whole_collections() > before
