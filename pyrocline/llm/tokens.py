@@ -63,6 +63,8 @@ REMEMBERED = 300_000
 _TOGETHER = 256
 #: Text that is encoded at once; bounds the arrays that a task holds.
 _TOGETHER_BYTES = 2 << 20
+#: Ids that a task reads back, about, where there are more small files than tasks are needed.
+IDS_READ = 4 << 20
 _MARKS = ".,;:!?"
 _READ = 8 << 20
 
@@ -264,7 +266,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     order = [F.col("doc_id").asc_nulls_first(), F.col("begin"), F.col("hash")]
     keyed = rows.select("doc_id", text_bytes().alias("body"), F.substring(F.coalesce("text", F.lit("")), 1, 64).alias("begin"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     dealt = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "body")
-    manifest = settle(dealt.mapInArrow(each, "part long, file string, docs long, ids long"), "manifest")
+    # The window gathers the few rows in one task, which writes the only stored file: on a local file system each file that a
+    # task creates makes Hadoop start programs (chmod), and none should start beside the workers that encode.
+    manifest = dealt.mapInArrow(each, "part long, file string, docs long, ids long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return settle(manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")
 
@@ -314,7 +318,8 @@ def _dictionary(path: str) -> bytes:
 
 def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files that ``manifest`` names, read back from them."""
-    files = manifest.count()
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    tasks = min(files, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, -(-ids // IDS_READ)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = None
@@ -332,7 +337,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
                 ids = pa.array(shard.doc_ids, mask=shard.has == 0)
                 yield pa.record_batch([ids, pa.array(starts), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "base").repartition(max(files, 1)).mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "base").repartition(max(tasks, 1)).mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -14,6 +14,7 @@ from pyrocline.llm import calibration, decontamination, hamming, markup, mixing,
 from pyrocline.llm.common import small_enough
 from pyrocline.llm.secret_rules import RULES, trigram_query, trigrams_of
 from pyrocline.operators.components import connected_components
+from pyrocline.storage import settle
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, size long, label int, body string, word string, target double, key long"
@@ -348,6 +349,19 @@ def test_short_document_access(spark, docs, tmp_path):
         tokens.Shard(path, first.file, dictionary + b"x")
 
 
+def test_encoding_tasks_store_no_tables(spark, docs, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(tokens, "settle", lambda df, label: stored.append(settle(df, label)) or stored[-1])
+    path = str(tmp_path / "t")
+    manifest = tokens.write_tokens(docs.repartition(9), path, tokens.vocabulary_path())
+    assert manifest.count() > 1 and sum(len(x.inputFiles()) for x in stored) == 1
+    # 300 small files are read back by few tasks, each whole and with its own base.
+    many = manifest.crossJoin(spark.range(300 // manifest.count()).withColumnRenamed("id", "again"))
+    found = tokens.read_tokens(many.drop("again"), path)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert found.count() == docs.count() * (300 // manifest.count()) and found.distinct().count() == docs.count()
+
+
 def test_small_sample_is_the_dictionary(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a few words"), (2, "and others")], "doc_id long, text string")
     dictionary = tokens.train_dictionary(frame, tokens.vocabulary_path())
