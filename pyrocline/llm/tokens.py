@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyrocline.llm.common import give_back, text_bytes
-from pyrocline.storage import fresh_path, settle
+from pyrocline.storage import free, fresh_path, settle
 
 MAGIC = b"PYRTOK01"
 FOOTER = "<QQQII32s8s"
@@ -268,6 +268,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     dealt = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "body")
     # The window gathers the few rows in one task, which writes the only stored file: on a local file system each file that a
     # task creates makes Hadoop start programs (chmod), and none should start beside the workers that encode.
+    free(docs.sparkSession)  # the workers that encode are large
     manifest = dealt.mapInArrow(each, "part long, file string, docs long, ids long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return settle(manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")

@@ -11,6 +11,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seconds after which a stored table is an occasion to collect the driver's garbage.
 FREE_SECONDS = 10.0
@@ -44,13 +45,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pyrocline/{label}-{uuid.uuid4().hex}"
 
 
-def _free(spark: SparkSession) -> None:
-    """Collect the driver's garbage now and then: only then does Spark drop broadcast tables and shuffle files that nothing uses, and the heap shrink."""
+def free(spark: SparkSession, seconds: float = 0.0) -> None:
+    """Collect the garbage of driver and executors, unless that was done less than ``seconds`` ago.
+
+    Only then does Spark drop broadcast tables and shuffle files that nothing uses, and the
+    heaps shrink: an executor's keeps the size that an earlier step needed, beside the Python workers of the next.
+    """
     now = time.monotonic()
-    if now - _freed[0] >= FREE_SECONDS:
-        _freed[0] = now
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    if now - _freed[0] < seconds:
+        return
+    _freed[0] = now
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # the driver is one; on a local master it is the executor
+    if executors > 0:
+        # As many tasks as executors: idle ones get one each. Where some are busy, some may get none or two, which costs time alone.
+        spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -61,7 +71,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    _free(spark)
+    free(spark, FREE_SECONDS)
     return spark.read.schema(df.schema).parquet(path)
 
 
