@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import string
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -57,32 +57,55 @@ LEAST_SAMPLES, LEAST_SAMPLE_BYTES = 16, 16 << 10
 FILE_BYTES = 64 << 20
 #: The dictionary is trained on about this many documents, chosen by a hash of the text, and this many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16 << 10
-#: Encoded pieces between white space that a worker remembers before it starts anew.
+#: Encoded pieces between white space, other than plain words, that a worker remembers before it starts anew.
 REMEMBERED = 300_000
-#: New pieces that are encoded in one string.
+#: Words or new pieces that are encoded in one string.
 _TOGETHER = 256
 #: Text that is encoded at once; bounds the arrays that a task holds.
-_TOGETHER_BYTES = 2 << 20
+_TOGETHER_BYTES = 8 << 20
+#: Ids that are laid out at once.
+_TOGETHER_IDS = 1 << 20
 #: Ids that a task reads back, about, where there are more small files than tasks are needed.
 IDS_READ = 4 << 20
-_MARKS = ".,;:!?"
+#: Plain words are of these letters. They stay as they are in lower case and in composed normal forms; beyond ASCII
+#: their second byte in UTF-8 is one of 0x9f to 0xbf.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_MARKS = string.punctuation
 _READ = 8 << 20
 
 
+def _laid(store: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``store`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return store[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _lowered(text: bytes) -> bytes:
+    """The same pieces in lower case, but for those that may hold the name of a special token. (Arrow 23's ascii_lower garbles slices that were cast.)"""
+    return b" ".join(p if b"<|" in p else p.lower() for p in text.split()) if b"<|" in text else text.lower()
+
+
+def _plain(pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Whether each piece is a plain word, a run of marks or such a word before such a run; the word; the run."""
+    marks = pc.utf8_ltrim(pieces, characters=_LETTERS)
+    return pc.equal(pc.utf8_ltrim(marks, characters=_MARKS), pa.scalar("", pieces.type)), pc.utf8_rtrim(pieces, characters=_MARKS), marks
+
+
 class Encoder:
-    """Encodes texts with a tokenizers vocabulary, remembering the pieces between ASCII white space.
+    """Encodes texts with a tokenizers vocabulary, each distinct piece between ASCII white space once for many texts.
 
     Valid for vocabularies whose tokens never span white space; for any other,
     whole texts are encoded. If the vocabulary also lower-cases, pieces are told
-    apart in lower case; if it cuts words off punctuation and takes ASCII words
-    as they are, these go straight to its model. Other new pieces are encoded
+    apart in lower case; if it cuts words off runs of marks and marks the ends of both,
+    plain words and runs of marks go straight to its model, in byte-level characters, without normalizer and regex.
+    Other pieces are remembered; new ones are encoded
     together, with a NUL between them, whose id no other character has. What a
     vocabulary allows is tried out on probes when it is loaded.
     """
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -90,71 +113,107 @@ class Encoder:
         self.by_piece = one("ab  cd\n\tef") == one("ab") + one("cd") + one("ef") and one(" \n") == [] and len(one("\0")) == 1
         self.by_piece = self.by_piece and one("ab \0 cd") == one("ab") + one("\0") + one("cd")
         self.lower = self.by_piece and one("ABcd,\nXY") == one("abcd,\nxy")
-        words = ("the", "abcdxq", "zzyzx", "lowercase")
-        self.by_word = self.lower and all(one(w) == [t.id for t in self.tokenizer.model.tokenize(w)] and one(w + m) == one(w) + one(m) for w in words for m in _MARKS)
         self.between = (one("\0") or [0])[0]
-        self.marks = {m.encode(): array("I", one(m)).tobytes() for m in _MARKS}
-        self.known: dict[bytes, bytes] = {}
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        self.known: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.by_word = self.lower and bool(suffix) and self._cuts_words(one)
+
+    def _cuts_words(self, one: Callable[[str], list[int]]) -> bool:
+        """Whether the model alone gives the vocabulary's ids of words and of runs of marks, and shows where each ends."""
+        names = pa.array([t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()], pa.large_string())
+        if pc.any(_plain(names)[0]).as_py():  # a word with an id of its own
+            return False
+        words = [*_LETTERS, *_MARKS, _LETTERS, _MARKS, *(x + "a" for x in _LETTERS), "the", "abcdxq", "zzyzx", "lowercase", "größe", "ciónmente"]
+        pairs = [(w, m) for w in ("the", "zzyzx", "größe") for m in (*_MARKS, ",***", "!!", _MARKS)]
+        found, each = self._words(pa.array(words, pa.large_string())), [one(w) for w in words]
+        if found is None or found[1].tolist() != list(map(len, each)) or found[0].tolist() != sum(each, []):
+            return False
+        return all(one(w + m) == one(w) + one(m) for w, m in pairs)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without white space and NUL."""
         out: list[bytes] = []
-        joined = [b" \0 ".join(pieces[i:i + _TOGETHER]) for i in range(0, len(pieces), _TOGETHER)]
-        for x in self.tokenizer.encode_batch_fast([j.decode("utf-8", "replace") for j in joined], add_special_tokens=False):
+        joined = [" \0 ".join(pieces[i:i + _TOGETHER]) for i in range(0, len(pieces), _TOGETHER)]
+        for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.array(x.ids, "<u4")
             raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
         return out
 
-    def _word(self, word: bytes) -> bytes:
-        """Ids of an ASCII word."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.lower().decode("ascii"))]).tobytes()
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        known, rest = self.known, []
-        for piece in pieces:
-            if self.by_word and piece.isalpha():
-                known[piece] = self._word(piece)
-            elif self.by_word and (mark := self.marks.get(piece[-1:])) is not None and (word := piece[:-1]).isalpha():
-                if word not in known:
-                    known[word] = self._word(word)
-                known[piece] = known[word] + mark
-            elif b"\0" in piece:
-                known[piece] = self._whole([piece])[0]
-            else:
-                rest.append(piece)
-        known.update(zip(rest, self._pieces(rest), strict=True))
-
-    def _known(self, pieces: list[bytes]) -> list[bytes]:
+    def _known(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        self._learn([p for p in pieces if p not in self.known])
+        new = [p for p in pieces if p not in self.known]
+        for some, encode in (([p for p in new if "\0" in p], self._whole), ([p for p in new if "\0" not in p], self._pieces)):
+            self.known.update(zip(some, encode(some), strict=True))
         return list(map(self.known.__getitem__, pieces))
 
-    def ids(self, bodies: pa.Array) -> list[np.ndarray]:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """The model's ids of plain words and runs of marks, one after the other, and how many each has; None if it doesn't show each end."""
+        cuts = pa.array([*range(0, len(words), _TOGETHER), len(words)], pa.int32())
+        ids = [np.zeros(0, "<u4")]
+        for text in pc.binary_join(pa.ListArray.from_arrays(cuts, words.cast(pa.string())), " ").to_pylist():
+            # Byte-level characters are those of Latin-1, but for the bytes that have no sign there.
+            text = text.encode().decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+            ids += [np.array(x.ids, "<u4") for x in self.model.encode_batch_fast([text], add_special_tokens=False)]
+        store = np.concatenate(ids)
+        ends = np.flatnonzero(self.last[store]) + 1
+        there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        if len(ends) != there.sum():
+            return None
+        sizes = np.zeros(len(words), np.int64)
+        sizes[there] = np.diff(ends, prepend=0)
+        return store, sizes
+
+    def _remembered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any pieces, one after the other, and how many each has."""
+        known = self._known(pieces.to_pylist())
+        return np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        if not self.by_word:
+            return self._remembered(pieces)
+        plain, words, marks = _plain(pieces)
+        parts = pa.concat_arrays([words.filter(plain), marks.filter(plain)]).dictionary_encode()
+        found, other = self._words(parts.dictionary) or self._remembered(parts.dictionary), self._remembered(pieces.filter(pc.invert(plain)))
+        store, sizes = np.concatenate((found[0], other[0])), np.concatenate((found[1], other[1], [0]))
+        # Each piece is two stretches of the store: word and marks, or another piece and the last, empty one.
+        which, of = np.full((len(pieces), 2), len(sizes) - 1), plain.to_numpy(zero_copy_only=False)
+        which[of] = parts.indices.to_numpy().reshape(2, -1).T
+        which[~of, 0] = len(parts.dictionary) + np.arange(len(other[1]))
+        return _laid(store, (np.cumsum(sizes) - sizes)[which.ravel()], sizes[which.ravel()]), sizes[which].sum(1)
+
+    def ids(self, bodies: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each UTF-8 text (binary, no nulls) as unsigned 32-bit integers, without an end id."""
-        if not self.by_piece:
-            return [np.frombuffer(x, "<u4") for x in self._whole([b.as_buffer().to_pybytes() for b in bodies])]
         raw = [b.as_buffer().to_pybytes() for b in bodies]
-        if self.lower and not any(b"<|" in b for b in raw):  # names of special tokens keep their case
-            raw = [b.lower() for b in raw]
-        texts = pa.array(raw, pa.large_binary()).cast(pa.large_string())
-        split = pc.ascii_split_whitespace(texts)
+        if not self.by_piece:
+            yield from (np.frombuffer(x, "<u4") for x in self._whole([b.decode("utf-8", "replace") for b in raw]))
+            return
+        if self.lower:
+            raw = list(map(_lowered, raw))
+        split = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).cast(pa.large_string()))
+        del raw
         coded = split.flatten().dictionary_encode()
-        words = self._known(coded.dictionary.cast(pa.large_binary()).to_pylist())
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
-        store = np.frombuffer(b"".join(words), "<u4")
-        which = coded.indices.to_numpy()
-        count = sizes[which]
-        ends = np.cumsum(count)
-        start = (np.cumsum(sizes) - sizes)[which]
-        stream = store[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))]
-        return [stream[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        upto = np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))
+        del split
+        store, sizes = self._distinct(coded.dictionary)
+        starts, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[which])))[upto]
+        at = 0
+        while at < len(bodies):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + _TOGETHER_IDS, "right")) - 1)
+            here = which[upto[at]:upto[end]]
+            stream, cuts = _laid(store, starts[here], sizes[here]), (ends[at:end + 1] - ends[at]).tolist()
+            yield from (stream[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
+            at = end
 
 
 @cache

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -376,6 +377,37 @@ def test_encoder_without_shortcuts():
     assert [x.tolist() for x in own.ids(pa.array([t.encode() for t in texts], pa.binary()))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_words_go_straight_to_the_model(monkeypatch):
+    own, passed = tokens.Encoder(tokens.vocabulary_path()), []
+    monkeypatch.setattr(own, "_pieces", lambda pieces, slow=own._pieces: passed.extend(pieces) or slow(pieces))
+    texts = ["Größe, aiché ciónmente!! the&&& ***", "the don't 3.14 Éa", "", "größe aïñß,*** 'tis (a) THE <|endoftext|> É'a the<| e\u0301"]
+    wanted = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in own.ids(pa.array([t.encode() for t in texts], pa.binary()))] == wanted
+    assert sorted(passed) == sorted({"don't", "3.14", "Éa", "'tis", "(a)", "<|endoftext|>", "É'a", "e\u0301"})
+
+
+def test_encoder_against_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "_TOGETHER", 7)
+    monkeypatch.setattr(tokens, "_TOGETHER_IDS", 20)
+    own, draw = tokens.Encoder(tokens.vocabulary_path()), random.Random(6)
+    signs = [*tokens._LETTERS, *tokens._LETTERS, *tokens._MARKS, *"ABÉÑẞ×÷ªº019", *" \n\t\x0b\x1c\0\xa0\x85\xad\u0301\u2003\u0130\u03a3Ж中😀ŁŃ", "<|endoftext|>", "'s", " the ", "</w>", "ing ", ". ", ",*** "]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(3000)] + ["ab" * 5000, " ", ""]
+    bodies = pa.array([t.encode() for t in texts], pa.binary())
+    for at in (0, 1, 2990):
+        assert [x.tolist() for x in own.ids(bodies[at:])] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at:]]
+    assert list(own.ids(bodies[:0])) == [] and list(tokens._parts_of(bodies[:0])) == []
+    # A vocabulary that doesn't show where words end, or that has a word of its own, is encoded without the shortcut.
+    one = lambda text: own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.by_word and own._cuts_words(one)
+    last, own.last = own.last, np.zeros_like(own.last)
+    assert not own._cuts_words(one)
+    assert [x.tolist() for x in own.ids(bodies[:50])] == [one(t) for t in texts[:50]]
+    own.last = last
+    own.tokenizer.add_tokens(["zebra"])
+    assert not own._cuts_words(one)
+
+
 # -- sharding
 
 @pytest.mark.parametrize("copies", [0, 300])
